@@ -15,6 +15,8 @@ piece. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +32,25 @@ END_ID = 2
 CAPACITY = 4096
 #: Partition totals are broadcast up to this many rows (16 bytes each) and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
-#: Chunks whose ids a worker remembers before it starts afresh.
-CACHE_CHUNKS = 600_000
+#: Chunks whose ids a worker remembers before it starts afresh (about 0.3 kB each).
+CACHE_CHUNKS = 1_200_000
+
+#: How a tokenizer must normalise and split for words to be encoded one by one.
+WORD_PIPELINE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+_printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_hidden = [b for b in range(256) if b not in _printed]
+#: The printable symbols that stand for bytes in byte-level vocabularies.
+_BYTE_SYMBOLS = {b: chr(b) for b in _printed} | {b: chr(256 + i) for i, b in enumerate(_hidden)}
 
 _TOKENS = "part int, doc_id long, local_start long, length long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -41,8 +60,10 @@ class ChunkEncoder(dict):
     """Maps a chunk between ASCII white space to the bytes of its ids.
 
     The tokenizer drops white space and never lets a token cross it, so a text's
-    ids are those of its chunks in order. A text with a special token's string
-    is left to the tokenizer as a whole.
+    ids are those of its chunks in order. Punctuation behind a word is a token
+    sequence of its own, and a word of letters alone goes to the merges directly
+    if the tokenizer splits texts as WORD_PIPELINE says. A text with a special
+    token's string is left to the tokenizer as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,13 +73,24 @@ class ChunkEncoder(dict):
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        form = json.loads(self.tokenizer.to_str())
+        self.by_word = {k: form[k] for k in WORD_PIPELINE} == WORD_PIPELINE
+        self.model = self.tokenizer.model
         self[""] = b""
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        found = self._ids(chunk)
+        if not self.by_word or len(chunk) > 64:
+            return self._ids(chunk)
+        if chunk.isalpha() and chunk.islower() and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk)):
+            symbols = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+            found = np.array([t.id for t in self.model.tokenize(symbols)], self.dtype).tobytes()
+        elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
+            found = self[chunk[:-1]] + self[chunk[-1]]
+        else:
+            found = self._ids(chunk)
         if len(chunk) <= 64:
             self[chunk] = found
         return found
@@ -69,6 +101,9 @@ class ChunkEncoder(dict):
         if len(self) > CACHE_CHUNKS:
             self.clear()
             self[""] = b""
+        # Python lowers only the sigma by its neighbours; elsewhere both do it character by character.
+        if self.by_word and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            text = text.lower()
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         return b"".join(map(self.__getitem__, chunks))
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -5,7 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from loamline.llm.packing import pack, windows
+from loamline.llm.packing import ChunkEncoder, pack, windows
 
 PATH = P.path("word_bpe_49k.json")
 
@@ -36,5 +37,15 @@ def test_every_id_lies_in_one_piece(spark):
     check(spark, rows, 7)
 
 
+def test_word_by_word_equals_the_tokenizer():
+    enc, tok = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    assert enc.by_word
+    rng = random.Random(4)
+    letters = "abtheINGéÉßñŁøяжЯ日ǅİΣσς's't.,!?%&|0 9\n-_\u0301ªº"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 30)))
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
