@@ -9,7 +9,7 @@ window always reaches beyond the bin in which it begins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.config import CouplingConfig
@@ -38,7 +38,7 @@ def layout(changes: DataFrame, bucket_size: int) -> DataFrame:
     return ends.withColumn("buckets", count).withColumn("first_start", F.col("latest") - F.lit(bucket_size) * F.col("buckets") + 1)
 
 
-def bucket_start(time, bucket_size: int) -> F.Column:
+def bucket_start(time: Column, bucket_size: int) -> Column:
     """The start of the bucket that a time lies in; null outside all of them."""
     number = F.floor((time - F.col("first_start")) / F.lit(bucket_size)).cast("long")
     return F.when((number >= 0) & (number < F.col("buckets")), F.col("first_start") + number * bucket_size)

@@ -6,14 +6,14 @@ lines_added, lines_deleted and users (sorted numbers).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.config import DAY
 from loamline.functions.paths import starts_with
 
 
-def day(time) -> F.Column:
+def day(time: Column) -> Column:
     """The start of the UTC day."""
     return F.floor(time / F.lit(DAY)).cast("long") * DAY
 
