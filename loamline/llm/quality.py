@@ -160,24 +160,31 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     return model
 
 
+def batch_scores(model: AttentionMIL, texts: list[str | None]) -> np.ndarray:
+    """Scores of whole texts, a bounded number of bytes at a time."""
+    whole = [t or "" for t in texts]
+    return np.concatenate([np.zeros(0), *(model.scores(*encode(whole[begin:end])) for begin, end in groups(whole))])
+
+
 def score(docs: DataFrame, model: AttentionMIL, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of ``docs``."""
-    return score_with(docs.select("doc_id", "text"), model, threshold)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch_scores(model, batch.column(1).to_pylist()))], ["doc_id", "score"])
 
-def score_with(docs: DataFrame, model: AttentionMIL, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with its columns, and held_out, score and predicted behind them."""
+    ship(docs.sparkSession)
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: AttentionMIL, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            for begin, end in groups(texts):
-                scores = model.scores(*encode(texts[begin:end]))
-                part = batch.slice(begin, end - begin)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(scores, pa.float64())], [*kept, "score"])
+            yield batch.filter(pa.array(batch_scores(model, batch.column(at).to_pylist()) >= threshold))
 
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c != "text" or len(docs.columns) > 2]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
-    scored = docs.mapInArrow(run, f"{fields}, score double")
-    return scored.select(*kept, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)

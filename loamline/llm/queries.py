@@ -49,6 +49,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm.warc import captures
+
+    return captures(table(spark, sf_dir, "pages"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm.substring import deduplicate
 
@@ -62,6 +68,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamline.llm.chat import format_preferences, pairs_from_conversations
+
+    return format_preferences(*pairs_from_conversations(table(spark, sf_dir, "conversations")))
+
+
 def op10_permindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm.permindex import nearest
 
@@ -74,8 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_minhash": op4_minhash,
     "op5_bpe": op5_bpe,
+    "op6_warc": op6_warc,
     "op7_substring": op7_substring,
     "op8_quality": op8_quality,
+    "op9_chat": op9_chat,
     "op10_permindex": op10_permindex,
 }
 
@@ -134,8 +148,43 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
+_WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((((strpos('0123456789abcdef', h[i * 5 // 4 + 1]) - 1) * 16 + strpos('0123456789abcdef', h[i * 5 // 4 + 2]) - 1) >> (3 - i * 5 % 4)) & 31) + 1, 1)), '') AS digest FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to FROM b
+"""
+
+_CHAT = """
+WITH c AS (
+  SELECT conv_id AS pair_id, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS s FROM conversations
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2
+),
+last AS (SELECT pair_id, max(turn) AS last, arg_max(s.text, turn) AS answer FROM c WHERE s.role = 'assistant' GROUP BY 1),
+swap AS (SELECT a.pair_id, a.last, b.answer AS other FROM last a LEFT JOIN last b ON b.pair_id = xor(a.pair_id, 1)),
+bad AS (
+  SELECT c.pair_id, c.turn, c.s FROM c LEFT JOIN swap w ON w.pair_id = c.pair_id WHERE w.last IS NULL OR c.turn < w.last
+  UNION ALL SELECT pair_id, last, {'role': 'assistant', 'text': other} FROM swap WHERE other IS NOT NULL
+),
+met AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.turn, b.turn) AS turn, a.s AS good, b.s AS bad FROM c a FULL JOIN bad b ON a.pair_id = b.pair_id AND a.turn = b.turn),
+first AS (SELECT pair_id, min(turn) AS first FROM met WHERE good IS DISTINCT FROM bad GROUP BY 1),
+placed AS (SELECT met.*, coalesce(turn < first, true) AS prompt FROM met LEFT JOIN first USING (pair_id)),
+rows AS (
+  SELECT pair_id, 'prompt' AS section, turn, good AS s FROM placed WHERE prompt
+  UNION ALL SELECT pair_id, 'chosen', turn, good FROM placed WHERE NOT prompt AND good IS NOT NULL
+  UNION ALL SELECT pair_id, 'rejected', turn, bad FROM placed WHERE NOT prompt AND bad IS NOT NULL
+)
+SELECT pair_id, section, turn, concat('<|', s.role, '|>', chr(10), s.text, '<|end|>', chr(10)) AS rendered, section <> 'prompt' AND s.role = 'assistant' AS learn FROM rows
+"""
+
 SQL: dict[str, str] = {
     "op2_topk": _TOPK,
     "op4_minhash": _NEAR,
+    "op6_warc": _WARC,
     "op7_substring": _SUBSTRING,
+    "op9_chat": _CHAT,
 }

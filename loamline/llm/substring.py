@@ -191,3 +191,25 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, dig
     cut = joined.mapInArrow(_cut(window, digests), "doc long, n_words long, n_removed long, result string")
     doc_id = F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id")
     return cut.select(doc_id, "n_words", "n_removed", F.col("result").alias("kept_sha256" if digests else "text"))
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The rows of ``docs``, with all their columns, their texts without repeats."""
+    names, at = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
+                if spans:
+                    raw = (texts[i] or "").encode()
+                    texts[i] = without(raw, kept_words(raw, [(s["start"], s["windows"]) for s in spans], window)[1])
+            columns = batch.columns[: len(names)]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    ship(docs.sparkSession)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
+    spans = repeated(docs.select(key.alias("doc"), F.col("text").cast("string")), window, anchor)
+    joined = docs.join(spans, key == spans["doc"], "left").select(*(docs[c] for c in names), spans["spans"].alias("substring spans"))
+    return joined.mapInArrow(run, docs.schema)

@@ -209,24 +209,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
 
 def score(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD, evidence: bool = True) -> DataFrame:
     """doc_id, held_out, score, predicted and, if asked for, the neighbours' (cosine, doc_id) of every row."""
-    columns = docs.select("doc_id", "text")
-    return score_with(columns, model, threshold, evidence).drop("text")
-
-
-def score_with(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD, evidence: bool = False) -> DataFrame:
-    """``docs`` with its columns, and held_out, score, predicted (and evidence) behind them."""
-    names = docs.columns
     kind = pa.list_(pa.struct([("cosine", pa.float64()), ("doc_id", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            arrays = [*batch.columns, pa.array([s for s, _ in found], pa.float64())]
+            found = [model.score(t) for t in batch.column(1).to_pylist()]
+            arrays = [batch.column(0), pa.array([s for s, _ in found], pa.float64())]
             if evidence:
                 arrays.append(pa.array([[{"cosine": c, "doc_id": d} for c, d in e] for _, e in found], kind))
-            yield pa.RecordBatch.from_arrays(arrays, [*names, "score", *["evidence"] * evidence])
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", *["evidence"] * evidence])
+
+    ship(docs.sparkSession)
+    schema = "doc_id long, score double" + ", evidence array<struct<cosine:double,doc_id:bigint>>" * evidence
+    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["evidence"] * evidence)
+
+
+def accepted(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     ship(docs.sparkSession)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    scored = docs.mapInArrow(run, f"{fields}, score double" + ", evidence array<struct<cosine:double,doc_id:bigint>>" * evidence)
-    return scored.select(*names, held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["evidence"] * evidence)
+    at = docs.columns.index("text")
+    return docs.mapInArrow(run, docs.schema)
