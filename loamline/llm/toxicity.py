@@ -2,7 +2,7 @@
 
 The fitted part is an index of at most about ``PER_CLASS`` labelled examples of
 either class (held-out rows excluded) over a vocabulary of at most ``TERMS``
-words whose presence depends on the label beyond chance. Examples with the same
+words that are several times likelier in toxic examples, beyond chance. Examples with the same
 vector are one entry that counts its votes. The index is an inverted one whose
 entries lie in blocks; for every term it knows the largest weight in each block.
 A text's best blocks by the bound that these maxima give are read first, and
@@ -36,8 +36,9 @@ from loamline.session import ship
 
 PER_CLASS = 4000
 TERMS = 2000
-#: Least chi-squared statistic and document count of a term of the vocabulary.
-CHI_SQUARED, LEAST_DOCS = 25.0, 4
+#: Least chi-squared statistic and document count of a term of the vocabulary, and how many times
+#: likelier it must be in a toxic example; a word that is common in both classes is no evidence.
+CHI_SQUARED, LEAST_DOCS, LIFT = 25.0, 4, 3.0
 NEIGHBOURS, BLOCK, SMOOTH = 25, 64, 0.05
 THRESHOLD = 0.5
 REMEMBERED = 200_000
@@ -187,7 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         by_term = (
             bags.select("label", F.explode("counts").alias("term", "times"))
             .groupBy("term").agg(F.sum("label").cast("double").alias("n1"), F.sum(1 - F.col("label")).cast("double").alias("n0"))
-            .filter((a + b >= LEAST_DOCS) & (a + b < size)).withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARED) & (a / n1 > b / n0))
+            .filter((a + b >= LEAST_DOCS) & (a + b < size)).withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARED) & (a / n1 >= LIFT * b / n0))
         )
         # The vocabulary is bounded by TERMS.
         chosen = by_term.orderBy(F.desc("chi"), "term").limit(TERMS).collect()
