@@ -34,8 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own default, 64 MB, is several
+#: hundred MB of Python objects in every worker.
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers of ``spark``, once per application."""
+    """Make this package importable by the Python workers of ``spark``, and keep their batches small unless the user has set their size."""
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING) and spark.conf.get(_BATCH_SETTING) == "67108864b":
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
