@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from loamline.functions import languages as L
 from loamline.functions import text as X
+from loamline.session import ship
 
 
 def with_language(files: DataFrame) -> DataFrame:
     """Adds text, known (a language with a grammar, or null), language and binary; only unknown files are sniffed."""
+    ship(files.sparkSession)
     text = files.withColumn("text", X.decoded(F.col("content")))
     named = text.withColumn("known", L.known_language(F.col("name"), F.col("text")))
     return named.withColumn("language", L.language(F.col("name"), F.col("known"))).withColumn("binary", F.col("known").isNull() & X.is_binary(F.col("content")))

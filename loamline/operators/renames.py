@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamline.session import materialize
+from loamline.session import materialize, ship
 
 
 def events(changes: DataFrame) -> DataFrame:
@@ -60,6 +60,7 @@ def _number(edges: pd.DataFrame) -> pd.DataFrame:
 
 def numbered(log: DataFrame) -> DataFrame:
     """repo, id, tin, tout, depth: commit c hangs below e exactly if tin(e) <= tin(c) < tout(e). A repository's ids meet in one task."""
+    ship(log.sparkSession)
     edges = log.select("repo", "id").join(first_children(log), ["repo", "id"], "left")
     return edges.groupBy("repo").applyInPandas(_number, "repo string, id string, tin long, tout long, depth int")
 
