@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = materialize(labels.join(least, "root").select("node", "component_id"), "components")
     discard(clusters)
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # Documents without words share no class; as nulls of a join they would meet in one task.
+    alone = signed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = signed.filter("node is not null").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

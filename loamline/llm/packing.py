@@ -32,8 +32,9 @@ END_ID = 2
 CAPACITY = 4096
 #: Partition totals are broadcast up to this many rows (16 bytes each) and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
-#: Chunks whose ids a worker remembers before it starts afresh (about 0.3 kB each).
-CACHE_CHUNKS = 1_200_000
+#: Chunks of a generation. A worker remembers two (about 0.25 kB a chunk): when the younger one is full, the
+#: older one goes, and chunks that are met again move on from it.
+CACHE_CHUNKS = 300_000
 
 #: How a tokenizer must normalise and split for words to be encoded one by one.
 WORD_PIPELINE = {
@@ -76,15 +77,19 @@ class ChunkEncoder(dict):
         form = json.loads(self.tokenizer.to_str())
         self.by_word = {k: form[k] for k in WORD_PIPELINE} == WORD_PIPELINE
         self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
         self[""] = b""
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
+        if (found := self.older.get(chunk)) is not None:
+            self[chunk] = found
+            return found
         if not self.by_word or len(chunk) > 64:
-            return self._ids(chunk)
-        if chunk.isalpha() and chunk.islower() and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk)):
+            found = self._ids(chunk)
+        elif chunk.isalpha() and chunk.islower() and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk)):
             symbols = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
             found = np.array([t.id for t in self.model.tokenize(symbols)], self.dtype).tobytes()
         elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
@@ -99,6 +104,7 @@ class ChunkEncoder(dict):
         if any(s in text for s in self.specials):
             return self._ids(text)
         if len(self) > CACHE_CHUNKS:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
         # Python lowers only the sigma by its neighbours; elsewhere both do it character by character.

@@ -35,7 +35,7 @@ EPOCHS, RATE, DECAY = 30, 0.01, 1e-5
 THRESHOLD = 0.3
 WIDTH = 256 + PAIR_BINS + 2
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 
 
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

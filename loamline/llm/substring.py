@@ -14,7 +14,7 @@ seeds. Documents meet on seeds:
 The earliest start of any window lies in the earliest record of its stretch, so
 step 2 loses nothing. Repeats are joined per document to maximal covered ranges
 of words, which are cut out. Keys are 128 bits of hashes (seed and stretch or
-window). Records of a hot passage are reduced to the earliest within each batch
+window). Records of a hot passage are reduced to the earliest of each 300,000
 before they are shuffled; ranks stream through sorted rows and spill.
 
 Defined cases: a null text has no words; texts shorter than a window are kept
@@ -38,6 +38,8 @@ from loamline.llm.wordhash import grouped, hash_runs, hash_words, mix, powers
 from loamline.session import materialize, ship
 
 WINDOW, ANCHOR = 20, 6
+#: Records (40 bytes each) within which copies are reduced before they are shuffled.
+HELD_RECORDS = 300_000
 _NULL_ID = -(1 << 63)
 _U = np.uint64
 _STRETCH = 0xA0761D6478BD642F
@@ -80,27 +82,34 @@ def window_hashes(raw: bytes, window: int) -> np.ndarray:
 
 
 def _records_of(window: int, anchor: int):
+    def reduced(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Of every stretch the earliest record goes on; later ones are known to be repeats."""
+        doc, start, count, seed, stretch = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((start, doc, stretch, seed))
+        doc, start, count, seed, stretch = (x[order] for x in (doc, start, count, seed, stretch))
+        new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (stretch[1:] != stretch[:-1])])
+        group = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (doc != doc[group]) | (start != start[group])
+        keep = new | later
+        # Known repeats need no meeting; their own place serves as key and spreads them.
+        key = np.where(later, mix(doc.astype(_U) * _U(31) + start.astype(_U)), seed)
+        columns = [key.view(np.int64), stretch.view(np.int64), doc, start.astype(np.int32), count.astype(np.int32), later]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["seed", "stretch", "doc", "start", "windows", "later"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            parts = []
             for begin, texts in grouped(batch.column(1).to_pylist()):
                 owner, start, count, seed, stretch = records(texts, window, anchor)
-                parts.append((ids[begin + owner], start, count, seed, stretch))
-            doc, start, count, seed, stretch = (np.concatenate(p) for p in zip(*parts))
-            if not len(doc):
-                continue
-            # The earliest record of a stretch within the batch goes on; later ones are known to be repeats.
-            order = np.lexsort((start, doc, stretch, seed))
-            doc, start, count, seed, stretch = (x[order] for x in (doc, start, count, seed, stretch))
-            new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (stretch[1:] != stretch[:-1])])
-            group = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (doc != doc[group]) | (start != start[group])
-            keep = new | later
-            # Known repeats need no meeting; their own place serves as key and spreads them.
-            key = np.where(later, mix(doc.astype(_U) * _U(31) + start.astype(_U)), seed)
-            columns = [key.view(np.int64), stretch.view(np.int64), doc, start.astype(np.int32), count.astype(np.int32), later]
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["seed", "stretch", "doc", "start", "windows", "later"])
+                if len(owner):
+                    parts.append((ids[begin + owner], start, count, seed, stretch))
+                    held += len(owner)
+            if held >= HELD_RECORDS:
+                yield reduced(parts)
+                parts, held = [], 0
+        if held:
+            yield reduced(parts)
 
     return run
 
