@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,10 @@ from loamline.session import ship
 
 PER_CLASS = 4000
 TERMS = 2000
-#: Least chi-squared statistic and document count of a term of the vocabulary, and how many times
-#: likelier it must be in a toxic example; a word that is common in both classes is no evidence.
-CHI_SQUARED, LEAST_DOCS, LIFT = 25.0, 4, 3.0
+#: Least log-likelihood ratio (which, unlike chi-squared, holds for rare words) and document count of
+#: a term of the vocabulary, and how many times likelier it must be in a toxic example; a word that is
+#: common in both classes is no evidence.
+EVIDENCE, LEAST_DOCS, LIFT = 14.0, 4, 3.0
 NEIGHBOURS, BLOCK, SMOOTH = 25, 64, 0.05
 THRESHOLD = 0.5
 REMEMBERED = 200_000
@@ -166,8 +168,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            counts = [list(Counter(words(t)).items()) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.map_(pa.string(), pa.int32()))], ["doc_id", "label", "counts"])
+            counts = [Counter(words(t)) for t in part.column(1).to_pylist()]
+            # Near copies have the same smallest hash as often as their words agree.
+            prints = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in c), default=0) for c in counts]
+            maps = pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.int64()), maps], ["doc_id", "label", "print", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> NearestExamples:
@@ -176,22 +181,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     sample, counts = training_rows(docs, labels, label, per_class)
     total = sum(counts.values())
     model = NearestExamples(counts.get(1, 0) / total if total else 0.0)
-    bags = sample.mapInArrow(_counted, "doc_id long, label int, counts map<string,int>").persist()
+    bags = sample.mapInArrow(_counted, "doc_id long, label int, print long, counts map<string,int>").persist()
     try:
         n = {int(r.label): int(r["count"]) for r in bags.groupBy("label").count().collect()}
         if len(n) < 2:
             return model
-        n1, n0 = float(n[1]), float(n[0])
+        # Copies of one text are one witness for its words.
+        witnesses = {int(r.label): float(r.n) for r in bags.groupBy("label").agg(F.count_distinct("print").alias("n")).collect()}
+        n1, n0 = witnesses[1], witnesses[0]
         a, b = F.col("n1"), F.col("n0")
         size = n1 + n0
-        chi = size * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (size - a - b) * n1 * n0)
+        ratio = 2 * (a * F.log(a * size / ((a + b) * n1)) + F.when(b > 0, b * F.log(b * size / ((a + b) * n0))).otherwise(0.0))
         by_term = (
-            bags.select("label", F.explode("counts").alias("term", "times"))
+            bags.select("label", "print", F.explode("counts").alias("term", "times")).select("term", "label", "print").distinct()
             .groupBy("term").agg(F.sum("label").cast("double").alias("n1"), F.sum(1 - F.col("label")).cast("double").alias("n0"))
-            .filter((a + b >= LEAST_DOCS) & (a + b < size)).withColumn("chi", chi).filter((F.col("chi") >= CHI_SQUARED) & (a / n1 >= LIFT * b / n0))
+            .filter((a > 0) & (a + b >= LEAST_DOCS)).withColumn("ratio", ratio).filter((F.col("ratio") >= EVIDENCE) & (a / n1 >= LIFT * b / n0))
         )
         # The vocabulary is bounded by TERMS.
-        chosen = by_term.orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+        chosen = by_term.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
         terms = [r.term for r in chosen]
         if not terms:
             return model
