@@ -36,21 +36,46 @@ def links_within(rows: DataFrame, capacity: int, linker: Linker) -> DataFrame:
     """(a, b) edges whose components are those of all links between members of a group.
 
     ``rows``: group_id, member (long), weight, and the payload columns. A group
-    heavier than ``capacity`` is cut into chunks by the hash of the member, and
-    every pair of chunks is a block of its own, so no link is lost and no task
-    holds more than about twice the capacity.
+    heavier than ``capacity`` is cut into chunks by the hash of the member, and no
+    task holds more than about two of them. First every chunk meets the first
+    one. If a group has more than two, what lies outside its largest component by
+    then meets all of its chunks; two members of that component needn't meet
+    again. So no link between components is lost, and a huge group whose members
+    hang together takes about two passes over it, not one per pair of chunks.
     """
     payload = [c for c in rows.columns if c not in ("group_id", "member", "weight")]
+    ship(rows.sparkSession)
     sizes = rows.groupBy("group_id").agg(F.sum("weight").alias("total"), F.count("*").alias("n")).filter("n > 1")
-    sizes = sizes.select("group_id", F.ceil(F.col("total") / F.lit(float(capacity))).cast("int").alias("chunks"))
+    sizes = materialize(sizes.select("group_id", F.ceil(F.col("total") / F.lit(float(capacity))).cast("int").alias("chunks")), "sizes")
     chunk = F.pmod(F.xxhash64("member"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    blocks = (
-        rows.join(sizes, "group_id").withColumn("chunk", chunk).withColumn("other", other)
-        .withColumn("low", F.least("chunk", "other")).withColumn("high", F.greatest("chunk", "other"))
-        .select("group_id", "low", "high", "member", *payload)
-        .repartition("group_id", "low", "high").sortWithinPartitions("group_id", "low", "high", "member")
-    )
+    chunked = rows.join(sizes, "group_id").withColumn("chunk", chunk)
+    last = F.col("chunks") - 1
+    first_meets = F.when(F.col("chunk") > 0, F.array("chunk")).otherwise(F.sequence(F.least(F.lit(1), last), last))
+    met = chunked.withColumn("other", F.explode(first_meets)).select("group_id", F.lit(0).alias("low"), F.col("other").alias("high"), "member", *payload)
+    found = met.repartition("group_id", "high").sortWithinPartitions("group_id", "high", "member").mapInArrow(_forests(linker), "a long, b long")
+    large = sizes.filter("chunks > 2")
+    if large.isEmpty():
+        return found
+    found = materialize(found, "links")
+    roots = components(found)
+    many = materialize(rows.join(large, "group_id").withColumn("chunk", chunk), "large")
+    labelled = many.select("group_id", "member", "weight").join(roots, F.col("member") == F.col("node"), "left").select("group_id", "member", "weight", F.coalesce("root", "member").alias("root"))
+    counted = labelled.groupBy("group_id", "root").agg(F.count("*").alias("n"))
+    main = counted.groupBy("group_id").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    rest = materialize(labelled.join(main, "group_id").filter("root <> main").select("group_id", "member", "weight"), "rest")
+    parts = rest.groupBy("group_id").agg(F.ceil(F.sum("weight") / F.lit(float(capacity))).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("member", F.lit(1)), F.col("parts")).cast("int")
+    each_part, each_chunk = F.sequence(F.lit(0), F.col("parts") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+    probes = many.join(rest.select("group_id", "member"), ["group_id", "member"]).join(parts, "group_id").withColumn("low", part).withColumn("high", F.explode(each_chunk))
+    bases = many.join(parts, "group_id").withColumn("low", F.explode(each_part)).withColumn("high", F.col("chunk"))
+    columns = ["group_id", "low", "high", "member", *payload]
+    both = probes.select(columns).unionByName(bases.select(columns))
+    again = both.repartition("group_id", "low", "high").sortWithinPartitions("group_id", "low", "high", "member").mapInArrow(_forests(linker), "a long, b long")
+    return found.unionByName(again)
+
+
+def _forests(linker: Linker):
+    """Edges of each block of rows in a sorted stream of (group_id, low, high, member, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -79,8 +104,7 @@ def links_within(rows: DataFrame, capacity: int, linker: Linker) -> DataFrame:
         if waiting:
             yield from emit()
 
-    ship(rows.sparkSession)
-    return blocks.mapInArrow(run, "a long, b long")
+    return run
 
 
 def components(edges: DataFrame) -> DataFrame:

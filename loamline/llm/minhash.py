@@ -8,8 +8,8 @@ collisions, estimates the similarity, and estimates of at least ``LOOSE`` join
 classes into clusters. Inside a cluster the full sets, made again from whole
 texts, decide every link; components follow from the links.
 
-Clusters and buckets of any size are split into blocks (``components.py``), so
-no group is collected as a whole and none of its links is lost. A link of
+Clusters and buckets of any size are split into chunks (``components.py``), so
+no group is collected as a whole and no link that joins components is lost. A link of
 similarity 0.85 is missed with probability 4e-7 by the bands and 1e-9 by LOOSE.
 
 Defined cases: a document without words has an empty set, links with nothing and

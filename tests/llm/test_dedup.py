@@ -119,6 +119,33 @@ def test_links_of_split_groups(spark):
         assert got == want
 
 
+def test_links_of_a_large_group_with_stragglers(spark):
+    rng = random.Random(6)
+    values = [float(v) for v in [*np.linspace(0, 40, 81), *(100 + 3 * i for i in range(25)), *(100.5 + 3 * i for i in range(0, 25, 2)), 40.9]]
+    rng.shuffle(values)
+
+    def linker(block):
+        v = np.array(block.column("v").to_pylist())
+        return lambda row, others: np.abs(v[others] - v[row]) <= 1
+
+    rows = spark.createDataFrame([(g, 1000 * g + m, 1, v) for g in (0, 1) for m, v in enumerate(values)], "group_id long, member long, weight int, v double")
+    parent = {m: m for m in range(len(values))}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(values):
+        for j in range(i):
+            if abs(a - values[j]) <= 1:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    want = {1000 * g + m: 1000 * g + find(m) for g in (0, 1) for m in parent if sum(find(x) == find(m) for x in parent) > 1}
+    for capacity in (4, 11, 45, 60):
+        assert {r.node: r.root for r in components(links_within(rows, capacity, linker)).collect()} == want, capacity
+
+
 def removed_by_hand(rows, window):
     seen, out = {}, []
     for i, (d, t, *_) in sorted(enumerate(rows), key=lambda x: -1 if x[1][0] is None else x[1][0]):
