@@ -7,7 +7,6 @@ A line is code, a comment or blank. Grammars cover line comments, block comments
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -187,7 +186,3 @@ def classify(text: str, grammar: Grammar) -> list[int]:
 def line_classes(names: pd.Series, texts: pd.Series) -> pd.Series:
     """Classes of all lines of a text in a language; null where the language is unknown."""
     return pd.Series([classify(t, BY_NAME[n]) if n in BY_NAME and t is not None else None for n, t in zip(names, texts)])
-
-
-def iter_languages() -> Iterator[str]:
-    yield from BY_NAME

@@ -34,7 +34,3 @@ def far_enough(a: Column, b: Column, min_distance: int, max_common_roots: int |
     shared = common_roots(a, b)
     keep = F.coalesce(distance(a, b, shared) >= min_distance, F.lit(True))
     return keep if max_common_roots is None else keep & (shared <= max_common_roots)
-
-
-def starts_with(path: Column, prefix: Column) -> Column:
-    return F.slice(path, F.lit(1), F.size(prefix)) == prefix

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.config import DAY
-from loamline.functions.paths import starts_with
 
 
 def day(time: Column) -> Column:
@@ -61,10 +60,7 @@ def repository_of(files: DataFrame, repositories: DataFrame, nearest: bool = Fal
     ``files``: path; ``repositories``: repo, root (components), load_ord. Files
     meet repositories on equal prefixes, not on a comparison of all with all.
     """
-    depths = repositories.select(F.size("root").alias("depth")).distinct()
-    # As many depths as levels of the tree at which repositories lie.
-    prefixes = files.select("path").crossJoin(F.broadcast(depths)).filter(F.size("path") >= F.col("depth"))
-    keyed = prefixes.withColumn("root", F.slice("path", F.lit(1), F.col("depth")))
-    met = keyed.join(repositories, "root").filter(starts_with(F.col("path"), F.col("root")))
+    keyed = files.select("path", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("depth")).withColumn("root", F.slice("path", F.lit(1), F.col("depth")))
+    met = keyed.join(repositories, "root")
     order = F.struct((-F.col("depth")).alias("d"), "load_ord") if nearest else F.struct("load_ord", F.col("depth").alias("d"))
     return met.groupBy("path").agg(F.min_by("repo", order).alias("repo"))
