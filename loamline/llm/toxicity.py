@@ -28,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.labelled import held_out, training_rows
+from loamline.llm.wordhash import hash_runs, hash_words
 from loamline.session import ship
 
 PER_CLASS = 4000
@@ -43,7 +43,7 @@ TERMS = 2000
 EVIDENCE, LEAST_DOCS, LIFT = 14.0, 4, 3.0
 NEIGHBOURS, BLOCK, SMOOTH = 25, 64, 0.05
 THRESHOLD = 0.5
-REMEMBERED = 200_000
+REMEMBERED = 20_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -130,22 +130,30 @@ class NearestExamples:
         clean, toxic = near @ self.votes[[i for _, i in found]] if found else (0.0, 0.0)
         return math.log((toxic + self.prior) / (clean + 1 - self.prior))
 
-    def score_counts(self, counts: Counter) -> tuple[float, list[tuple[float, int]]]:
-        """Score and evidence, pairs of (cosine, doc_id of an example)."""
+    def neighbours(self, counts: Counter) -> list[tuple[float, int]]:
+        """The evidence for a score: cosines and doc_ids of the nearest examples."""
         if self.index is None or not counts:
-            return self.none, []
+            return []
+        return [(c, self.doc_ids[i]) for c, i in self.index.top(self.vector(counts), NEIGHBOURS)]
+
+    def score_counts(self, counts: Counter) -> float:
+        if self.index is None or not counts:
+            return self.none
         key = tuple(sorted(counts.items()))
-        if key not in self.known:
+        if (known := self.known.get(key)) is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            found = self.index.top(self.vector(counts), NEIGHBOURS)
-            share = self._share(found)
-            self.known[key] = 1 / (1 + math.exp(-(self.curve[0] * share + self.curve[1]))), [(c, self.doc_ids[i]) for c, i in found]
-        return self.known[key]
+            share = self._share(self.index.top(self.vector(counts), NEIGHBOURS))
+            known = self.known[key] = 1 / (1 + math.exp(-(self.curve[0] * share + self.curve[1])))
+        return known
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
+    def counts(self, text: str | None) -> Counter:
+        """How often a text has each word of the vocabulary."""
         terms = self.terms
-        return self.score_counts(Counter([w for w in words(text) if w in terms]) if text else Counter())
+        return Counter([w for w in words(text) if w in terms]) if text else Counter()
+
+    def score(self, text: str | None) -> float:
+        return self.score_counts(self.counts(text))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -164,13 +172,18 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]
     return float(a[0]), float(a[1])
 
 
+def fingerprint(text: str) -> int:
+    """The smallest hash of three words in a row: near copies share it as often as they agree, other texts hardly ever."""
+    hashes = hash_words([text.encode()], fold=True)[0]
+    return int(hash_runs(hashes, min(3, len(hashes))).min() >> np.uint64(1)) if len(hashes) else 0
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
-            counts = [Counter(words(t)) for t in part.column(1).to_pylist()]
-            # Near copies have the same smallest hash as often as their words agree.
-            prints = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in c), default=0) for c in counts]
+            texts = part.column(1).to_pylist()
+            counts, prints = [Counter(words(t)) for t in texts], [fingerprint(t) for t in texts]
             maps = pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.int64()), maps], ["doc_id", "label", "print", "counts"])
 
@@ -221,10 +234,10 @@ def score(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.score(t) for t in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), pa.array([s for s, _ in found], pa.float64())]
+            counts = [model.counts(t) for t in batch.column(1).to_pylist()]
+            arrays = [batch.column(0), pa.array([model.score_counts(c) for c in counts], pa.float64())]
             if evidence:
-                arrays.append(pa.array([[{"cosine": c, "doc_id": d} for c, d in e] for _, e in found], kind))
+                arrays.append(pa.array([[{"cosine": c, "doc_id": d} for c, d in model.neighbours(x)] for x in counts], kind))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", *["evidence"] * evidence])
 
     ship(docs.sparkSession)
@@ -238,7 +251,7 @@ def accepted(docs: DataFrame, model: NearestExamples, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t)[0] < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     ship(docs.sparkSession)
     at = docs.columns.index("text")
