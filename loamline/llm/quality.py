@@ -31,7 +31,8 @@ PER_CLASS = 1500
 PASSAGE_BYTES = 512
 PAIR_BINS = 256
 HIDDEN, ATTENTION = 24, 12
-EPOCHS, RATE, DECAY = 30, 0.01, 1e-5
+#: Minibatches of BATCH documents, whatever the size of the sample.
+STEPS, BATCH, RATE, DECAY = 1400, 64, 0.01, 1e-5
 THRESHOLD = 0.3
 WIDTH = 256 + PAIR_BINS + 2
 #: Bytes of text that are encoded at once; a longer text is encoded alone.
@@ -104,20 +105,21 @@ class AttentionMIL:
         return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (t * g).T @ de, "c": f["z"].T @ dl, "d": dl.sum(keepdims=True)}
 
     def fit(self, x: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-        """Adam over minibatches of 64 bags; ``weight`` undoes the sampling by class."""
+        """Adam over minibatches; ``weight`` undoes a sampling by class."""
         rng, first = np.random.default_rng(11), np.cumsum(counts) - counts
-        m, v, step = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}, 0
-        for epoch in range(EPOCHS):
-            order, rate = rng.permutation(len(y)), RATE * (1 - epoch / EPOCHS)
-            for begin in range(0, len(y), 64):
-                chosen = order[begin : begin + 64]
-                rows = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in chosen])
-                step += 1
-                for k, grad in self.gradient(x[rows], counts[chosen], y[chosen], weight[chosen]).items():
-                    grad = grad + DECAY * self.p[k]
-                    m[k] = 0.9 * m[k] + 0.1 * grad
-                    v[k] = 0.999 * v[k] + 0.001 * grad * grad
-                    self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        m, v = {k: np.zeros_like(a) for k, a in self.p.items()}, {k: np.zeros_like(a) for k, a in self.p.items()}
+        order: list[int] = []
+        for step in range(1, STEPS + 1):
+            if len(order) < min(BATCH, len(y)):
+                order = rng.permutation(len(y)).tolist()
+            chosen, order = np.array(order[:BATCH]), order[BATCH:]
+            rows = np.concatenate([np.arange(first[i], first[i] + counts[i]) for i in chosen])
+            rate = RATE * (1 - step / STEPS)
+            for k, grad in self.gradient(x[rows], counts[chosen], y[chosen], weight[chosen]).items():
+                grad = grad + DECAY * self.p[k]
+                m[k] = 0.9 * m[k] + 0.1 * grad
+                v[k] = 0.999 * v[k] + 0.001 * grad * grad
+                self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         self.fitted = True
 
 
