@@ -1,9 +1,9 @@
 """Vectors in blocks: shards of all rows met by blocks of queries.
 
 Rows are dealt round-robin into shards of a fixed size, so no key decides where
-a row goes and nothing can become hot. A query block travels over the shards of
-one shard group in a sorted stream; the worker holds one shard at a time and
-carries each query's best results from shard to shard.
+a row goes and nothing can become hot. The shards of a group stream past a
+bounded number of query blocks; the worker holds one shard at a time and carries
+each query's best results from shard to shard.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from loamline.session import materialize, ship
 
 SHARD_ROWS = 8192
 QUERY_ROWS = 512
+#: Query blocks that a worker holds at once, and shards that stream past them in one task.
+CELL_BLOCKS, CELL_SHARDS = 32, 256
+#: More blocks than a partition ever makes.
+PART_BLOCKS = 1_000_000
 
 Arrays = dict[str, np.ndarray]
 
@@ -58,7 +62,7 @@ def into_blocks(rows: DataFrame, size: int, prepare: Callable[[Arrays], Arrays],
             ids, vectors = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             for begin in range(0, len(ids), size):
                 data = dump(prepare({"ids": ids[begin : begin + size], "vectors": vectors[begin : begin + size]}))
-                yield pa.RecordBatch.from_arrays([pa.array([part * 1_000_000 + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([data], pa.binary())], ["block", "dim", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([part * PART_BLOCKS + made], pa.int64()), pa.array([dim], pa.int32()), pa.array([data], pa.binary())], ["block", "dim", "data"])
                 made += 1
 
         for batch in batches:
@@ -101,35 +105,49 @@ def search(
     blocks = into_blocks(rows.filter(is_query), query_rows, prepare_query, "queries")
     n_blocks, n_shards = max(1, blocks.count()), max(1, shards.count())
     wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = max(1, min(n_shards, -(-wanted // n_blocks)))
-    # The stated query set against all rows, in blocks: every block meets every shard group once.
-    left = blocks.select(F.col("block").alias("query_block"), "dim", F.col("data").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("shard_group"))
-    right = shards.select(F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("shard_group"), "dim", F.col("data").alias("shard"))
-    met = left.join(right, ["shard_group", "dim"]).repartition("query_block", "shard_group").sortWithinPartitions("query_block", "shard_group")
+    # The stated query set against all rows, in blocks: a cell is a group of blocks, which a worker
+    # holds, and a group of shards, which stream past them. Blocks and shards are copied to their
+    # cells and meet there, so no pair of them is ever a row.
+    block_groups = -(-n_blocks // CELL_BLOCKS)
+    shard_groups = min(n_shards, max(-(-wanted // block_groups), -(-n_shards // CELL_SHARDS)))
+    number = F.floor(F.col("block") / PART_BLOCKS) + F.col("block") % PART_BLOCKS
+
+    def copies(kind: int, own: int, other: int) -> list[Column]:
+        mine, theirs = F.pmod(number, F.lit(own)).cast("long"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long")))
+        return [mine.alias("mine"), theirs.alias("theirs"), F.lit(kind).alias("kind"), F.col("block"), F.col("dim"), F.col("data")]
+
+    left = blocks.select(*copies(0, block_groups, shard_groups)).withColumn("cell", F.col("mine") * shard_groups + F.col("theirs"))
+    right = shards.select(*copies(1, shard_groups, block_groups)).withColumn("cell", F.col("theirs") * shard_groups + F.col("mine"))
+    columns = ["cell", "kind", "block", "dim", "data"]
+    met = left.select(columns).unionByName(right.select(columns)).repartition("cell").sortWithinPartitions("cell", "kind", "block")
     kind = pa.float64() if score_type == "double" else pa.int64()
     names = ["query_block", "query_row", "query_id", "vec_id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, queries, best = None, None, []
+        at: int | None = None
+        held: list[tuple[int, int, Arrays, list]] = []
 
-        def emit() -> pa.RecordBatch:
-            flat = [(at[0], i, int(queries["ids"][i]), vec, score) for i, found in enumerate(best) for _, vec, score in found]
-            columns = list(zip(*flat)) or [[]] * 5
-            kinds = [pa.int64()] * 4 + [kind]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        def emit() -> Iterator[pa.RecordBatch]:
+            for block, _, queries, best in held:
+                flat = [(block, i, int(queries["ids"][i]), vec, score) for i, found in enumerate(best) for _, vec, score in found]
+                columns = list(zip(*flat)) or [[]] * 5
+                kinds = [pa.int64()] * 4 + [kind]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("query_block", "shard_group")}
-                key = (row["query_block"], row["shard_group"])
-                if key != at:
-                    if at is not None:
-                        yield emit()
-                    at, queries = key, load(batch.column("queries")[i].as_py())
-                    best = [[] for _ in queries["ids"]]
-                visit(load(batch.column("shard")[i].as_py()), queries, best)
-        if at is not None:
-            yield emit()
+                cell, is_shard, block, dim = (batch.column(c)[i].as_py() for c in range(4))
+                if cell != at:
+                    yield from emit()
+                    at, held = cell, []
+                arrays = load(batch.column(4)[i].as_py())
+                if not is_shard:
+                    held.append((block, dim, arrays, [[] for _ in arrays["ids"]]))
+                    continue
+                for _, wanted_dim, queries, best in held:
+                    if wanted_dim == dim:
+                        visit(arrays, queries, best)
+        yield from emit()
 
     found = met.mapInArrow(run, f"query_block long, query_row long, query_id long, vec_id long, score {score_type}")
     # At most k rows a query and shard group reach this window.

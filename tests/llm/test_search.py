@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from loamline.llm import permindex, topk
+from loamline.llm import blocks, permindex, topk
 
 SCHEMA = "vec_id long, embedding array<float>, rank string, score int"
 
@@ -38,7 +39,10 @@ def collected(df):
     return out
 
 
-def test_exact_top_k(spark):
+@pytest.mark.parametrize("cells", [(32, 256), (2, 1), (1, 2)])
+def test_exact_top_k(spark, monkeypatch, cells):
+    monkeypatch.setattr(blocks, "CELL_BLOCKS", cells[0])
+    monkeypatch.setattr(blocks, "CELL_SHARDS", cells[1])
     made = rows()
     got = collected(topk.top_k(spark.createDataFrame(made, SCHEMA), F.col("vec_id") % 50 == 0, 5, shard_rows=150, query_rows=4))
     for q, (want,) in brute(made, 50, 5, True).items():
