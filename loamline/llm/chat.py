@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamline.session import materialize
+
 OPEN, BETWEEN, CLOSE = "<|", "|>\n", "<|end|>\n"
 LEARNED_ROLE = "assistant"
 
@@ -39,13 +41,15 @@ def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(BETWEEN), text, F.lit(CLOSE))
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame, learned_role: str = LEARNED_ROLE) -> DataFrame:
+def format_preferences(chosen: DataFrame, rejected: DataFrame, learned_role: str = LEARNED_ROLE, distinct: bool = False) -> DataFrame:
     """pair_id, section (prompt, chosen, rejected), turn, rendered, learn.
 
-    Both inputs: pair_id, turn, role, text.
+    Both inputs: pair_id, turn, role, text; ``distinct`` says that they come from
+    :func:`turns`, which needn't be repeated then.
     """
-    good = turns(chosen).select("pair_id", "turn", F.struct("role", "text").alias("good"))
-    bad = turns(rejected).select("pair_id", "turn", F.struct("role", "text").alias("bad"))
+    chosen, rejected = (chosen, rejected) if distinct else (turns(chosen), turns(rejected))
+    good = chosen.select("pair_id", "turn", F.struct("role", "text").alias("good"))
+    bad = rejected.select("pair_id", "turn", F.struct("role", "text").alias("bad"))
     met = good.join(bad, ["pair_id", "turn"], "full")
     differ = ~F.col("good").eqNullSafe(F.col("bad"))
     first = met.filter(differ).groupBy("pair_id").agg(F.min("turn").alias("first"))
@@ -95,7 +99,8 @@ def pairs_from_conversations(conversations: DataFrame, learned_role: str = LEARN
     whose id differs in the lowest bit; without a partner's answer it ends before
     that turn. A conversation without assistant turns is rejected as it is.
     """
-    chosen = turns(conversations.withColumnRenamed("conv_id", "pair_id"))
+    # Read several times below: written once, so that texts are aggregated once.
+    chosen = materialize(turns(conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")), "turns")
     answer = F.max(F.struct("turn", "text"))
     last = chosen.filter(F.col("role") == learned_role).groupBy("pair_id").agg(answer.alias("a")).select("pair_id", F.col("a.turn").alias("last"), F.col("a.text").alias("answer"))
     partner = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other"))

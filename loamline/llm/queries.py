@@ -71,7 +71,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm.chat import format_preferences, pairs_from_conversations
 
-    return format_preferences(*pairs_from_conversations(table(spark, sf_dir, "conversations")))
+    return format_preferences(*pairs_from_conversations(table(spark, sf_dir, "conversations")), distinct=True)
 
 
 def op10_permindex(spark: SparkSession, sf_dir: str) -> DataFrame:
