@@ -40,7 +40,7 @@ TERMS = 2000
 #: Least log-likelihood ratio (which, unlike chi-squared, holds for rare words) and document count of
 #: a term of the vocabulary, and how many times likelier it must be in a toxic example; a word that is
 #: common in both classes is no evidence.
-EVIDENCE, LEAST_DOCS, LIFT = 14.0, 4, 3.0
+EVIDENCE, LEAST_DOCS, LIFT = 24.0, 4, 3.0
 NEIGHBOURS, BLOCK, SMOOTH = 25, 64, 0.05
 THRESHOLD = 0.5
 REMEMBERED = 20_000
