@@ -1,16 +1,19 @@
 """Near-duplicate detection by b-bit MinHash, confirmed on full shingle sets.
 
 Documents with equal shingle sets form a class; one row stands for each. Of the
-``HASHES`` minima of a set the full values make ``BANDS`` band keys, and their
+``HASHES`` minima of a set the full values make band keys, and their
 low ``BITS`` bits are packed into a signature. Classes that share a band key are
 candidates; inside a bucket the number of equal low bits, corrected for chance
-collisions, estimates the similarity, and estimates of at least ``LOOSE`` join
+collisions, estimates the similarity, and estimates that are high enough join
 classes into clusters. Inside a cluster the full sets, made again from whole
 texts, decide every link; components follow from the links.
 
 Clusters and buckets of any size are split into chunks (``components.py``), so
-no group is collected as a whole and no link that joins components is lost. A link of
-similarity 0.85 is missed with probability 4e-7 by the bands and 1e-9 by LOOSE.
+no group is collected as a whole and no link that joins components is lost. Bands and
+the least estimate follow from the similarity asked for, so that a link of just that
+similarity is missed with a probability of about ``BAND_MISS`` by the bands and
+``ESTIMATE_MISS`` by the estimate: 25 bands of 5 and an estimate of 0.65 at 0.85,
+32 of 4 and a lower one at 0.80.
 
 Defined cases: a document without words has an empty set, links with nothing and
 is kept; rows that share a doc_id are documents of their own, and repeated rows
@@ -20,6 +23,7 @@ are kept; texts may have any length; an empty table gives no row.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +38,10 @@ from loamline.session import discard, materialize, ship
 
 SHINGLE = 5
 HASHES, BITS = 128, 4
-BANDS, ROWS = 25, 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
-LOOSE = 0.65
+#: With what probability bands and estimate may each miss a link of just that similarity.
+BAND_MISS, ESTIMATE_MISS = 1e-6, 2e-8
 #: Classes of a chunk of a bucket; shingles of a chunk of a cluster.
 BUCKET_CHUNK, CLUSTER_CHUNK = 2048, 1 << 20
 #: Candidates (16 bytes each) are broadcast up to this many and joined by a shuffle beyond.
@@ -46,7 +50,24 @@ BROADCAST_ROWS = 400_000
 _U = np.uint64
 _rng = np.random.default_rng(42)
 _FACTORS = (_rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(_U) * _U(2) + _U(1))[:, None]
-_BAND_FACTORS = (_rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.int64).astype(_U) * _U(2) + _U(1))
+_BAND_FACTORS = _rng.integers(0, 1 << 63, HASHES, dtype=np.int64).astype(_U) * _U(2) + _U(1)
+
+
+def rows_per_band(percent: int) -> int:
+    """The longest bands that miss hardly any link of this similarity."""
+    found = (r for r in range(8, 1, -1) if (1 - (percent / 100) ** r) ** (HASHES // r) <= BAND_MISS)
+    return next(found, 1)
+
+
+def least_estimate(percent: int) -> float:
+    """The largest bound on estimates that hardly any link of this similarity falls short of."""
+    p, below = percent / 100 + (1 - percent / 100) * 2.0**-BITS, 0.0
+    for equal in range(HASHES):
+        below += math.comb(HASHES, equal) * p**equal * (1 - p) ** (HASHES - equal)
+        if below > ESTIMATE_MISS:
+            break
+    # Half a field less, so that rounding never decides.
+    return ((equal - 0.5) / HASHES - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -68,8 +89,9 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    return mix((mins[: BANDS * ROWS].reshape(BANDS, ROWS) * _BAND_FACTORS).sum(1) + np.arange(BANDS, dtype=_U))
+def band_keys(mins: np.ndarray, rows: int) -> np.ndarray:
+    bands = HASHES // rows
+    return mix((mins * _BAND_FACTORS)[: bands * rows].reshape(bands, rows).sum(1) + np.arange(bands, dtype=_U))
 
 
 def pack(mins: np.ndarray) -> bytes:
@@ -90,8 +112,9 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (equal - chance) / (1 - chance)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node (hash of the set), signature and bands of every document; nulls where the set is empty."""
+    rows = rows_per_band(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +127,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_node(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([None if m is None else pack(m) for m in mins], pa.binary()),
-                        pa.array([None if m is None else band_keys(m).view(np.int64) for m in mins], pa.list_(pa.int64())),
+                        pa.array([None if m is None else band_keys(m, rows).view(np.int64) for m in mins], pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n_shingles", "node", "signature", "bands"],
                 )
@@ -117,9 +140,14 @@ def set_node(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
-def _similar_signatures(block: pa.RecordBatch):
-    packed = np.array([np.frombuffer(x, "<u8") for x in block.column("signature").to_pylist()])
-    return lambda row, others: estimate(packed[row], packed[others]) >= LOOSE
+def _similar_signatures(percent: int):
+    least = least_estimate(percent)
+
+    def linker(block: pa.RecordBatch):
+        packed = np.array([np.frombuffer(x, "<u8") for x in block.column("signature").to_pylist()])
+        return lambda row, others: estimate(packed[row], packed[others]) >= least
+
+    return linker
 
 
 def _confirmed_sets(percent: int):
@@ -156,14 +184,14 @@ def _confirmed_sets(percent: int):
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
-    signed = materialize(signatures(docs), "signatures")
+    signed = materialize(signatures(docs, percent), "signatures")
     classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max(F.struct("signature", "bands", "n_shingles")).alias("s"))
     classes = materialize(classes.select("node", "rep", "s.*"), "classes")
     banded = classes.select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     bucketed = banded.join(shared, "band").join(classes.select("node", "signature"), "node")
     rows = bucketed.select(F.col("band").alias("group_id"), F.col("node").alias("member"), F.lit(1).alias("weight"), "signature")
-    clusters = materialize(components(links_within(rows, BUCKET_CHUNK, _similar_signatures)), "clusters")
+    clusters = materialize(components(links_within(rows, BUCKET_CHUNK, _similar_signatures(percent))), "clusters")
     wanted = clusters.join(classes.select("node", "rep", "n_shingles"), "node").select("node", "root", "rep", "n_shingles")
     if (n := clusters.count()) and n <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)

@@ -38,7 +38,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamline.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

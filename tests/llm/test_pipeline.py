@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from test_dedup import components_by_hand, removed_by_hand
 
 import corpus_pipeline
-from loamline.llm import quality, substring, toxicity
+from loamline.llm import minhash, quality, substring, toxicity
 from loamline.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +43,39 @@ def test_one_of_each_group_stays(spark, docs):
     assert {r[0] for r in plain(corpus_pipeline.near_dedup_stage(spark, docs, SF))} == kept
 
 
+def test_near_copies_from_80_percent_go(spark):
+    words = [f"w{i}" for i in range(204)]
+    rows = [(n, " ".join(words[:200]) + f" {n}", "en", "x", 1) for n in (1, 2)]
+    # 200 shingles each; a changed word in the middle spoils five of them on either side.
+    for n, changed in ((10, 2), (20, 3), (30, 4), (40, 5), (50, 8)):
+        other = [f"{n}{w}" for w in words]
+        rows.append((n, " ".join(other), "en", "x", 1))
+        for c in range(changed):
+            other[20 * c + 20] = f"new{c}"
+        rows.append((n + 1, " ".join(other), "en", "x", 1))
+    kept = {d for d, _, _, stays in components_by_hand(rows, 80) if stays}
+    assert kept != {d for d, _, _, stays in components_by_hand(rows, 85) if stays}
+    got = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, SCHEMA), SF)
+    assert {r.doc_id for r in got.collect()} == kept
+
+
+def test_stage_equals_brute_force_at_80(spark, docs):
+    kept = {d for d, _, _, stays in components_by_hand(plain(docs), 80) if stays}
+    assert {r[0] for r in plain(corpus_pipeline.near_dedup_stage(spark, docs, SF))} == kept
+
+
+def test_bands_and_estimates_find_links_of_80_percent():
+    for percent in (80, 85, 95):
+        rows = minhash.rows_per_band(percent)
+        assert (1 - (percent / 100) ** rows) ** (minhash.HASHES // rows) <= 1e-6
+    rng, least = np.random.default_rng(4), minhash.least_estimate(80)
+    for _ in range(60):
+        pool = rng.integers(0, 2**63, 1125, dtype=np.int64).astype(np.uint64)
+        one, two = minhash.minima(pool[:1000]), minhash.minima(pool[125:])
+        assert minhash.estimate(*(np.frombuffer(minhash.pack(m), "<u8") for m in (one,)), np.frombuffer(minhash.pack(two), "<u8")[None])[0] >= least
+        assert (minhash.band_keys(one, 4) == minhash.band_keys(two, 4)).any()
+
+
 def test_repeated_passages_go(spark, docs):
     got = {r.doc_id: r for r in corpus_pipeline.substring_stage(spark, docs, SF).collect()}
     digests = {d: (n - gone) for d, n, gone, _ in removed_by_hand(plain(docs), substring.WINDOW)}
