@@ -1,13 +1,15 @@
 """Approximate nearest neighbours by a permutation index.
 
-A bounded sample of rows serves as pivots. Every vector is represented by its
-nearest pivots in order, and posted in the inverted file of each with its place
+A bounded sample of distinct vectors serves as pivots. Every vector is represented by
+its nearest pivots in order, and posted in the inverted file of each with its place
 in that order. A query reads the inverted files of its own nearest pivots, ranks
-rows by Spearman's footrule (a pivot that one side lacks counts as if it stood
-just behind the last place), and the best are reranked by true distance.
+vectors by Spearman's footrule (a pivot that one side lacks counts as if it stood
+just behind the last place), and the best, with all that tie with the last of them,
+are reranked by true distance.
 
 Each shard holds its own inverted files; the pivots, at most ``PIVOTS`` vectors,
-are the same for all. Every row is indexed.
+are the same for all. Equal vectors of a shard are one entry with the smallest ids
+that a query can need, so copies take no places from others and none of them is lost.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without a vec_id; rows with the query's own
@@ -18,29 +20,69 @@ without pivots is searched in full; an empty table gives no row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.blocks import QUERY_ROWS, SHARD_ROWS, Arrays, offer, search, valid
+from loamline.session import ship
 
-#: Rows sampled as pivots (by the hash of their id).
+#: Distinct vectors sampled as pivots (by their hash).
 PIVOTS = 256
 #: Places of a permutation that are kept.
 LENGTH = 64
-#: Share of a shard's rows that is reranked, and the least number of them.
+#: Share of a shard's distinct vectors that is reranked, and the least number of them.
 RERANK_SHARE, RERANK_LEAST = 0.2, 256
 
 
 def choose_pivots(rows: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
-    """The ``n`` rows whose ids hash lowest, by dimension: at most n vectors reach the driver."""
-    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(n).select("embedding").collect()
+    """The ``n`` distinct vectors that hash lowest, by dimension: at most n vectors reach the driver."""
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, None] = {}
+        bound = (1 << 63) - 1
+        for batch in batches:
+            hashes = np.asarray(batch.column(0))
+            for i in np.flatnonzero(hashes <= bound).tolist():
+                held[int(hashes[i]), tuple(batch.column(1)[i].as_py())] = None
+                if len(held) > 4 * n:
+                    held = dict.fromkeys(sorted(held)[:n])
+                    bound = max(held)[0]
+        kept = sorted(held)[:n]
+        arrays = [pa.array([h for h, _ in kept], pa.int64()), pa.array([list(v) for _, v in kept], pa.list_(pa.float64()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["hash", "embedding"])
+
+    ship(rows.sparkSession)
+    # Zeros of either sign are equal.
+    plain = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).alias("embedding")
+    hashed = rows.select(plain).select(F.xxhash64("embedding").alias("hash"), "embedding")
+    reduced = hashed.mapInArrow(lowest, "hash long, embedding array<double>").distinct()
+    found = reduced.orderBy("hash", "embedding").limit(n).select("embedding").collect()
     by: dict[int, list] = {}
     for row in found:
         by.setdefault(len(row.embedding), []).append(row.embedding)
     return {dim: np.array(vectors) for dim, vectors in by.items()}
 
 
+def distinct(arrays: Arrays, k: int) -> Arrays:
+    """Distinct vectors, and behind one another the ids of each: its smallest, as many as leave k when a query's own id is taken out."""
+    vectors = np.ascontiguousarray(arrays["vectors"] + 0.0)
+    _, first, group = np.unique(vectors.view(f"V{vectors.itemsize * vectors.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    order = np.lexsort((arrays["ids"], group))
+    ids, group = arrays["ids"][order], group[order]
+    # Of one id k repeated rows can count, and k rows of other ids.
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (group[1:] != group[:-1])])
+    few = np.arange(len(ids)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k
+    ids, group = ids[few], group[few]
+    begins = np.searchsorted(group, np.arange(len(first)))
+    few = np.arange(len(ids)) - begins[group] < 2 * k
+    ids, group = ids[few], group[few]
+    return {"vectors": vectors[first], "ids": ids, "owner": group, "first_id": np.searchsorted(group, np.arange(len(first) + 1))}
+
+
 def permutation(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """Numbers of each vector's nearest pivots, nearest first."""
     far = (pivots**2).sum(1) - 2 * vectors @ pivots.T
@@ -83,6 +125,7 @@ def nearest(
     pivots = choose_pivots(rows, n_pivots)
 
     def prepare(arrays: Arrays) -> Arrays:
+        arrays = distinct(arrays, k)
         dim = arrays["vectors"].shape[1]
         if dim not in pivots:
             return arrays
@@ -95,16 +138,24 @@ def nearest(
         return arrays | ({"places": permutation(arrays["vectors"], pivots[dim], length)} if dim in pivots else {})
 
     def over(shard: Arrays, queries: Arrays, best: list) -> None:
-        n = len(shard["ids"])
-        take = max(RERANK_LEAST, k + 1, int(np.ceil(share * n)))
+        n = len(shard["vectors"])
+        first = shard["first_id"]
         for i, own in enumerate(queries["ids"].tolist()):
+            # Vectors that may have no other row than the query's own.
+            without = len(np.unique(shard["owner"][shard["ids"] == own]))
+            take = max(RERANK_LEAST, k + without, int(np.ceil(share * n)))
             chosen = np.arange(n)
             if "begins" in shard and take < n:
                 gain = footrule_gain(shard["begins"], shard["posted"], shard["place"], queries["places"][i], n)
-                chosen = np.argpartition(-gain, take)[:take]
-            chosen = chosen[shard["ids"][chosen] != own]
-            ids = shard["ids"][chosen]
+                chosen = np.flatnonzero(gain >= np.partition(gain, n - take)[n - take])
             distance = np.sqrt(((shard["vectors"][chosen] - queries["vectors"][i]) ** 2).sum(1))
+            if len(chosen) > (enough := k + without):
+                near = distance <= np.partition(distance, enough - 1)[enough - 1]
+                chosen, distance = chosen[near], distance[near]
+            ids = np.concatenate([shard["ids"][first[c] : first[c + 1]] for c in chosen.tolist()])
+            distance = np.repeat(distance, first[chosen + 1] - first[chosen])
+            other = ids != own
+            ids, distance = ids[other], distance[other]
             order = np.lexsort((ids, distance))[:k]
             offer(best[i], k, distance[order], ids[order], distance[order])
 

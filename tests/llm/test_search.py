@@ -92,6 +92,34 @@ def test_permutation_index_recall(spark):
     assert hits / total >= 0.9
 
 
+def test_permutation_index_recall_with_a_third_of_copies(spark):
+    made = rows(3000, 24, 7)
+    # One vector a third of the rows, and one id in many rows.
+    copied = np.random.default_rng(8).permutation(3000)[:1000].tolist()
+    shared = made[copied[0]][1]
+    for i in copied:
+        made[i] = (i, shared, "a", 1)
+    made += [(copied[1], shared, "c", 3)] * 15
+    made = [made[i] for i in np.random.default_rng(9).permutation(len(made))]
+    got = collected(permindex.nearest(spark.createDataFrame(made, SCHEMA), F.col("vec_id") % 20 == 0, 10, n_pivots=128, length=48, share=0.2, shard_rows=4000, query_rows=64))
+    want = brute(made, 20, 10, False)
+    assert set(got) == set(want)
+    hits = total = 0
+    for q, (near,) in want.items():
+        hits += len({i for i, _ in near} & {i for _, i, _ in got[q]})
+        total += len({i for i, _ in near})
+        # Of copies none is lost: rows at distance 0 are exact.
+        same = [(i, s) for i, s in near if s == 0]
+        assert [(i, s) for _, i, s in got[q] if s == 0][: len(same)] == same
+    assert hits / total >= 0.9
+
+
+def test_pivots_are_distinct(spark):
+    made = [(i, [1.0, 2.0], "", 0) for i in range(500)] + [(500 + i, [float(i), -1.0], "", 0) for i in range(30)] + [(900, [0.0, 1.0], "", 0), (901, [-0.0, 1.0], "", 0)]
+    vectors = permindex.choose_pivots(spark.createDataFrame(made, SCHEMA).selectExpr("vec_id", "cast(embedding as array<double>) embedding").repartition(3), 20)[2]
+    assert len(vectors) == len({tuple(v) for v in vectors.tolist()}) == 20
+
+
 def test_permutation_index_is_exact_when_all_is_reranked(spark):
     made = rows(300, 6, 4)
     got = collected(permindex.nearest(spark.createDataFrame(made, SCHEMA), F.col("vec_id") % 100 == 0, 10, n_pivots=16, length=8, share=1.0))
