@@ -1,12 +1,14 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 The fitted part is an index of at most about ``PER_CLASS`` labelled examples of
-either class (held-out rows excluded) over a vocabulary of at most ``TERMS``
-words that are several times likelier in toxic examples, beyond chance. Examples with the same
-vector are one entry that counts its votes. The index is an inverted one whose
-entries lie in blocks; for every term it knows the largest weight in each block.
-A text's best blocks by the bound that these maxima give are read first, and
-reading ends when no bound reaches the k-th cosine, so the neighbours are exact.
+either class (held-out rows excluded) over all of their words that at least
+``LEAST_DOCS`` distinct examples have. A word's weight is that of TF-IDF times
+sqrt(1 + G), where G is its log-likelihood ratio between the classes: no word is
+left out or lighter than in TF-IDF, and words whose classes differ are heavier.
+Examples with the same vector are one entry that counts its votes. The index is an
+inverted one whose entries lie in blocks; for every term it knows the largest weight
+in each block. A text's best blocks by the bound that these maxima give are read
+first, and reading ends when no bound reaches the k-th cosine, so the neighbours are exact.
 
 Neighbours vote with weight 1 / (distance + SMOOTH), corrected for the sampling
 by class; a logistic curve fitted on the examples' leave-one-out votes turns the
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +39,8 @@ from loamline.llm.wordhash import hash_runs, hash_words
 from loamline.session import ship
 
 PER_CLASS = 4000
-TERMS = 2000
-#: Least log-likelihood ratio (which, unlike chi-squared, holds for rare words) and document count of
-#: a term of the vocabulary, and how many times likelier it must be in a toxic example; a word that is
-#: common in both classes is no evidence.
-EVIDENCE, LEAST_DOCS, LIFT = 24.0, 4, 3.0
+#: Distinct examples that a word of the vocabulary is in, at least.
+LEAST_DOCS = 2
 NEIGHBOURS, BLOCK, SMOOTH = 25, 64, 0.05
 THRESHOLD = 0.5
 REMEMBERED = 20_000
@@ -52,38 +52,61 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of some ranges, one behind another, and the ranges' lengths."""
+    lengths = ends - begins
+    return np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum()), lengths
+
+
 class BlockMaxIndex:
     """Unit vectors in blocks with the largest weight of each term in each block."""
 
     def __init__(self, vectors: list[dict[int, float]], n_terms: int) -> None:
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        self.maxima = np.zeros((n_terms, self.blocks))
-        posted: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for i, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                posted[term].append((i, weight))
-                self.maxima[term, i // BLOCK] = max(self.maxima[term, i // BLOCK], weight)
-        self.rows = [np.array([i for i, _ in p], np.int64) for p in posted]
-        self.weights = [np.array([w for _, w in p]) for p in posted]
-        self.begins = [np.searchsorted(r, np.arange(self.blocks + 1) * BLOCK) for r in self.rows]
+        sizes = np.array([len(v) for v in vectors], np.int64)
+        terms = np.array([t for v in vectors for t in v], np.int32)
+        weights = np.array([w for v in vectors for w in v.values()], float)
+        order = np.argsort(terms, kind="stable")
+        self.rows, self.weights = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order], weights[order]
+        # A segment is the postings of one term in one block.
+        key = terms[order].astype(np.int64) * self.blocks + self.rows // BLOCK
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.start = np.append(start, len(key)).astype(np.int32)
+        self.block = (key[start] % max(1, self.blocks)).astype(np.int32)
+        largest = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0)
+        # Rounded up, so that bounds hold.
+        self.maxima = np.nextafter(largest.astype(np.float32), np.float32(2))
+        self.first = np.searchsorted(key[start], np.arange(n_terms + 1) * self.blocks).astype(np.int32)
 
     def top(self, vector: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, entry) of entries with a common term; ties go to the earlier entry."""
-        terms = list(vector)
-        bounds = sum(vector[t] * self.maxima[t] for t in terms)
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) == k and bounds[block] * (1 + 1e-12) < -best[-1][0]:
+        terms, factors = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
+        segments, lengths = spread(self.first[terms].astype(np.int64), self.first[terms + 1].astype(np.int64))
+        factors, block = np.repeat(factors, lengths), self.block[segments]
+        bounds = np.bincount(block, factors * self.maxima[segments], self.blocks) * (1 + 1e-12)
+        order = np.argsort(-bounds, kind="stable")
+        scores, entries, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 8
+        while at < self.blocks:
+            least = scores[-1] if len(scores) == k else 0.0
+            read = order[at : at + step]
+            read = read[(bounds[read] > 0) & (bounds[read] >= least)]
+            if not len(read):
                 break
-            scores = np.zeros(BLOCK)
-            for t in terms:
-                begin, end = self.begins[t][block], self.begins[t][block + 1]
-                scores[self.rows[t][begin:end] - block * BLOCK] += vector[t] * self.weights[t][begin:end]
-            found = np.flatnonzero(scores > 0)
-            best += [(-scores[i], block * BLOCK + i) for i in found.tolist() if block * BLOCK + i != skip]
-            best.sort()
-            del best[k:]
-        return [(-s, i) for s, i in best]
+            wanted = np.zeros(self.blocks, bool)
+            wanted[read] = True
+            mine = wanted[block]
+            places, lengths = spread(self.start[segments[mine]].astype(np.int64), self.start[segments[mine] + 1].astype(np.int64))
+            sums = np.bincount(self.rows[places], np.repeat(factors[mine], lengths) * self.weights[places], self.n)
+            found = np.flatnonzero(sums > 0)
+            found = found[found != skip]
+            scores, entries = np.concatenate([scores, sums[found]]), np.concatenate([entries, found])
+            if len(scores) > k:
+                near = scores >= -np.partition(-scores, k - 1)[k - 1]
+                scores, entries = scores[near], entries[near]
+            best = np.lexsort((entries, -scores))[:k]
+            scores, entries = scores[best], entries[best]
+            at, step = at + step, 4 * step
+        return list(zip(scores.tolist(), entries.tolist()))
 
 
 class NearestExamples:
@@ -94,31 +117,37 @@ class NearestExamples:
         self.none = prior
         self.index: BlockMaxIndex | None = None
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        weights = {self.terms[w]: (1 + math.log(n)) * self.idf[self.terms[w]] for w, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in weights.values()))
-        return {t: x / norm for t, x in sorted(weights.items())}
-
-    def fit(self, terms: list[str], idf: list[float], examples: list[tuple[int, int, dict[str, int]]], shares: dict[int, float], none: float) -> None:
-        """``examples``: (doc_id, label, counts of vocabulary words); ``shares``: sampled share of either class."""
-        self.terms, self.idf, self.none = {t: i for i, t in enumerate(terms)}, idf, none
-        votes: dict[tuple, list] = {}
-        for doc_id, label, counts in sorted(examples, key=lambda e: e[0]):
-            entry = votes.setdefault(tuple(sorted((self.terms[w], n) for w, n in counts.items())), [0.0, 0.0, doc_id])
+    def vector(self, terms: np.ndarray, times: np.ndarray) -> dict[int, float]:
+        weights = (1 + np.log(times)) * self.weight[terms]
+        return dict(zip(terms.tolist(), (weights / math.sqrt(weights @ weights)).tolist()))
+
+    def fit(self, terms: list[str], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: dict[int, float], none: float) -> None:
+        """``examples``: (doc_id, label, ascending terms, times); ``shares``: sampled share of either class."""
+        self.terms, self.weight, self.none = {t: i for i, t in enumerate(terms)}, weight, none
+        votes: dict[bytes, list] = {}
+        keys = []
+        for doc_id, label, ids, times in examples:
+            keys.append(ids.tobytes() + times.tobytes())
+            entry = votes.setdefault(keys[-1], [0.0, 0.0, doc_id, ids, times])
             entry[label] += 1 / shares[label]
-        names = list(self.terms)
-        # Entries with the same terms lie together, so that blocks are tight.
-        ordered = sorted(votes.items())
-        self.vectors = [self.vector(Counter({names[t]: n for t, n in key})) for key, _ in ordered]
+
+        def heaviest(item: tuple[bytes, list]) -> tuple:
+            ids = item[1][3]
+            return tuple(ids[np.argsort(-weight[ids], kind="stable")[:4]].tolist()), item[0]
+
+        # Entries with the same heavy terms lie together, so that blocks are tight.
+        ordered = sorted(votes.items(), key=heaviest)
+        vectors = [self.vector(v[3], v[4]) for _, v in ordered]
         self.votes = np.array([v[:2] for _, v in ordered])
         self.doc_ids = [v[2] for _, v in ordered]
-        self.index = BlockMaxIndex(self.vectors, len(terms))
+        self.index = BlockMaxIndex(vectors, len(terms))
+        near = [self.index.top(v, NEIGHBOURS) for v in vectors]
         place = {key: i for i, (key, _) in enumerate(ordered)}
         x, y, w = [], [], []
-        for _, label, counts in sorted(examples, key=lambda e: e[0]):
-            me = place[tuple(sorted((self.terms[t], n) for t, n in counts.items()))]
+        for key, (_, label, _, _) in zip(keys, examples):
+            me = place[key]
             self.votes[me, label] -= 1 / shares[label]
-            x.append(self._share(self.index.top(self.vectors[me], NEIGHBOURS)))
+            x.append(self._share(near[me]))
             self.votes[me, label] += 1 / shares[label]
             y.append(label)
             w.append(1 / shares[label])
@@ -130,30 +159,35 @@ class NearestExamples:
         clean, toxic = near @ self.votes[[i for _, i in found]] if found else (0.0, 0.0)
         return math.log((toxic + self.prior) / (clean + 1 - self.prior))
 
-    def neighbours(self, counts: Counter) -> list[tuple[float, int]]:
-        """The evidence for a score: cosines and doc_ids of the nearest examples."""
-        if self.index is None or not counts:
-            return []
-        return [(c, self.doc_ids[i]) for c, i in self.index.top(self.vector(counts), NEIGHBOURS)]
+    def found(self, text: str | None) -> list[tuple[float, int]] | None:
+        """Cosines and entries of the nearest examples; nothing for a text without words of the vocabulary."""
+        counts = self.counts(text) if self.index is not None else {}
+        if not counts:
+            return None
+        ids, times = np.array(sorted(counts.items())).T
+        return self.index.top(self.vector(ids, times), NEIGHBOURS)
 
-    def score_counts(self, counts: Counter) -> float:
-        if self.index is None or not counts:
+    def scored(self, found: list[tuple[float, int]] | None) -> float:
+        if found is None:
             return self.none
-        key = tuple(sorted(counts.items()))
-        if (known := self.known.get(key)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            share = self._share(self.index.top(self.vector(counts), NEIGHBOURS))
-            known = self.known[key] = 1 / (1 + math.exp(-(self.curve[0] * share + self.curve[1])))
-        return known
+        return 1 / (1 + math.exp(-(self.curve[0] * self._share(found) + self.curve[1])))
+
+    def evidence(self, found: list[tuple[float, int]] | None) -> list[tuple[float, int]]:
+        """What a score rests on: cosines and doc_ids of the nearest examples."""
+        return [(c, self.doc_ids[i]) for c, i in found or []]
 
-    def counts(self, text: str | None) -> Counter:
+    def counts(self, text: str | None) -> dict[int, int]:
         """How often a text has each word of the vocabulary."""
         terms = self.terms
-        return Counter([w for w in words(text) if w in terms]) if text else Counter()
+        return {terms[w]: n for w, n in Counter(words(text)).items() if w in terms} if text else {}
 
     def score(self, text: str | None) -> float:
-        return self.score_counts(self.counts(text))
+        key = xxhash.xxh3_128_digest((text or "").encode())
+        if (known := self.known.get(key)) is None:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            known = self.known[key] = self.scored(self.found(text))
+        return known
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -188,6 +222,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.int64()), maps], ["doc_id", "label", "print", "counts"])
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """How far the shares a / n1 and b / n0 are from equal (G, twice the log-likelihood ratio)."""
+    total = np.zeros(len(a))
+    for here, n in ((a, n1), (b, n0)):
+        share = (a + b) / (n1 + n0)
+        for seen, expected in ((here, n * share), (n - here, n * (1 - share))):
+            total += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
+    return np.maximum(total, 0.0)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> NearestExamples:
     """Vocabulary, index and calibration from a bounded sample of labelled rows."""
     ship(docs.sparkSession)
@@ -202,29 +246,36 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         # Copies of one text are one witness for its words.
         witnesses = {int(r.label): float(r.n) for r in bags.groupBy("label").agg(F.count_distinct("print").alias("n")).collect()}
         n1, n0 = witnesses[1], witnesses[0]
-        a, b = F.col("n1"), F.col("n0")
         size = n1 + n0
-        ratio = 2 * (a * F.log(a * size / ((a + b) * n1)) + F.when(b > 0, b * F.log(b * size / ((a + b) * n0))).otherwise(0.0))
-        by_term = (
+        # The vocabulary is bounded by the words of the sample.
+        chosen = (
             bags.select("label", "print", F.explode("counts").alias("term", "times")).select("term", "label", "print").distinct()
             .groupBy("term").agg(F.sum("label").cast("double").alias("n1"), F.sum(1 - F.col("label")).cast("double").alias("n0"))
-            .filter((a > 0) & (a + b >= LEAST_DOCS)).withColumn("ratio", ratio).filter((F.col("ratio") >= EVIDENCE) & (a / n1 >= LIFT * b / n0))
+            .filter(F.col("n1") + F.col("n0") >= LEAST_DOCS).orderBy("term").toArrow()
         )
-        # The vocabulary is bounded by TERMS.
-        chosen = by_term.orderBy(F.desc("ratio"), "term").limit(TERMS).collect()
-        terms = [r.term for r in chosen]
+        terms = chosen.column("term").to_pylist()
         if not terms:
             return model
-        idf = [math.log((1 + size) / (1 + r.n1 + r.n0)) + 1 for r in chosen]
-        kept = bags.select("doc_id", "label", F.map_filter("counts", lambda k, _: k.isin(terms)).alias("counts"))
-        rows = kept.filter(F.size("counts") > 0).collect()
+        a, b = np.asarray(chosen.column("n1")), np.asarray(chosen.column("n0"))
+        weight = (np.log((1 + size) / (1 + a + b)) + 1) * np.sqrt(1 + likelihood_ratio(a, b, n1, n0))
+        place = {t: i for i, t in enumerate(terms)}
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pairs = [sorted((place[t], n) for t, n in counts if t in place) for counts in batch.column(3).to_pylist()]
+                arrays = [pa.array([[p[i] for p in row] for row in pairs], pa.list_(pa.int32())) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "label", "terms", "times"])
+
+        found = bags.mapInArrow(numbered, "doc_id long, label int, terms array<int>, times array<int>").filter("size(terms) > 0").toArrow().combine_chunks().sort_by("doc_id")
     finally:
         bags.unpersist()
     shares = {c: n[c] / counts[c] for c in (0, 1)}
-    seen = Counter(r.label for r in rows)
+    bags_of = [[x.values.to_numpy() for x in found.column(c)] for c in ("terms", "times")]
+    examples = list(zip(found.column("doc_id").to_pylist(), found.column("label").to_pylist(), *bags_of))
+    seen = Counter(e[1] for e in examples)
     without = {c: (n[c] - seen[c]) / shares[c] for c in (0, 1)}
     none = (without[1] + model.prior) / (without[0] + without[1] + 1)
-    model.fit(terms, idf, [(r.doc_id, r.label, dict(r.counts)) for r in rows], shares, none)
+    model.fit(terms, weight, examples, shares, none)
     return model
 
 
@@ -234,10 +285,13 @@ def score(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [model.counts(t) for t in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), pa.array([model.score_counts(c) for c in counts], pa.float64())]
+            texts = batch.column(1).to_pylist()
             if evidence:
-                arrays.append(pa.array([[{"cosine": c, "doc_id": d} for c, d in model.neighbours(x)] for x in counts], kind))
+                found = [model.found(t) for t in texts]
+                arrays = [batch.column(0), pa.array([model.scored(f) for f in found], pa.float64())]
+                arrays.append(pa.array([[{"cosine": c, "doc_id": d} for c, d in model.evidence(f)] for f in found], kind))
+            else:
+                arrays = [batch.column(0), pa.array([model.score(t) for t in texts], pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", *["evidence"] * evidence])
 
     ship(docs.sparkSession)

@@ -102,6 +102,22 @@ def test_block_max_index_is_exact():
         assert [i for s, i in got if s < want[-1][0]] == [i for s, i in want if s < want[-1][0]]
 
 
+def test_rare_words_and_small_samples_keep_a_vocabulary(spark):
+    """Words of few toxic examples, and examples without any toxic word, are searched."""
+    rng = random.Random(5)
+    prose = ["bana", "kone", "rimi", "suta", "bati", "koma", "rinu", "sumo"]
+    docs = [(i, " ".join(rng.choice(prose) for _ in range(20)) + (f" zwiff{i % 3} quarx" if i < 12 else ""), "x", 3) for i in range(150)]
+    labels = [(i, 1, int(i < 12)) for i in range(150)]
+    docs += [(1000 + i, " ".join(rng.choice(prose) for _ in range(20)) + f" zwiff{i} quarx", "x", 3) for i in range(3)]
+    docs += [(2000, "bana kone rimi", "x", 3)]
+    table = spark.createDataFrame(docs, SCHEMA)
+    model = toxicity.train(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert {"quarx", *prose} <= set(model.terms)
+    by = {r.doc_id: r for r in toxicity.score(table, model).collect()}
+    assert all(by[1000 + i].predicted == 1 for i in range(3)) and by[2000].predicted == 0
+    assert len(by[2000].evidence) == toxicity.NEIGHBOURS
+
+
 def test_attention_gradient():
     texts = ["abc def " * 100, "xyz", "", "hello there " * 60]
     x, counts = quality.encode(texts)
