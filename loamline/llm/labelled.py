@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: crc32(doc_id as text) modulo this; remainder 0 is held out.
 FOLDS = 5
+#: Bytes of a training text at most; longer labelled texts are left out of the sample.
+MOST_BYTES = 1 << 18
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -18,7 +20,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
 
     Rows are chosen by the hash of their doc_id, so the sample doesn't depend on
     partitions; held-out rows are never among them. A doc_id labelled twice
-    counts by its smallest label.
+    counts by its smallest label, one that stands several times by its smallest
+    text, and texts over ``MOST_BYTES`` aren't taken, so the sample is bounded in
+    rows and bytes.
     """
     marked = (
         labels.select(F.col("doc_id").cast("long"), F.col(label).cast("int").alias("label"))
@@ -33,4 +37,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, per_class: int
     chosen = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit * 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # At most two classes' bounds of (long, int) rows: a few hundred kB.
-    return texts.join(F.broadcast(chosen), "doc_id"), counts
+    met = texts.filter(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")), counts

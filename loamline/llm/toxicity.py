@@ -1,14 +1,19 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 The fitted part is an index of at most about ``PER_CLASS`` labelled examples of
-either class (held-out rows excluded) over all of their words that at least
-``LEAST_DOCS`` distinct examples have. A word's weight is that of TF-IDF times
-sqrt(1 + G), where G is its log-likelihood ratio between the classes: no word is
-left out or lighter than in TF-IDF, and words whose classes differ are heavier.
+either class (held-out rows excluded, none over ``labelled.MOST_BYTES``) over all of
+their words. A word weighs its TF-IDF times sqrt(1 + G): document frequencies are those
+of all documents, and G is the word's log-likelihood ratio between the classes of
+the examples, so no word is lighter than in TF-IDF, and words whose classes differ are
+heavier. Sums in single precision with a margin for their rounding choose the
+candidates, whose cosines are then taken in double precision.
+
 Examples with the same vector are one entry that counts its votes. The index is an
-inverted one whose entries lie in blocks; for every term it knows the largest weight
-in each block. A text's best blocks by the bound that these maxima give are read
-first, and reading ends when no bound reaches the k-th cosine, so the neighbours are exact.
+inverted one: the postings of rare words lie one behind another, those of words
+that many entries have lie in blocks of ``BLOCK`` entries. A block is bounded by its
+entries' sums over rare words and by the largest weight that each frequent word has
+in it. The blocks with the best bounds are read first, then those whose bound
+reaches the k-th cosine, so the neighbours are exact.
 
 Neighbours vote with weight 1 / (distance + SMOOTH), corrected for the sampling
 by class; a logistic curve fitted on the examples' leave-one-out votes turns the
@@ -16,8 +21,9 @@ share of toxic votes into a calibrated score. The neighbours are the evidence.
 
 Scoring is a map over all documents without a shuffle; the index has a bounded
 size. Defined cases: a text without any word of the vocabulary, null and empty
-ones included, gets the smoothed toxic share of such examples; texts may have
-any length; repeated rows get the same score; an empty table gives no row;
+ones included, gets the smoothed toxic share of such examples and no evidence; texts
+may have any length; repeated rows get the same score, and a doc_id that stands
+several times is one example, by its smallest text; an empty table gives no row;
 without labels of both classes every score is the share of 1 (0 without labels).
 """
 
@@ -39,74 +45,142 @@ from loamline.llm.wordhash import hash_runs, hash_words
 from loamline.session import ship
 
 PER_CLASS = 4000
-#: Distinct examples that a word of the vocabulary is in, at least.
-LEAST_DOCS = 2
 NEIGHBOURS, BLOCK, SMOOTH = 25, 64, 0.05
+#: A word is frequent if one in so many entries has it.
+FREQUENT = 20
+#: Blocks that are read before any k-th cosine is known, and queries that are searched together.
+FIRST_BLOCKS, TOGETHER = 4, 128
 THRESHOLD = 0.5
 REMEMBERED = 20_000
+#: Characters of a text whose words are listed at once.
+PIECE = 1 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
+_SPACE = re.compile(r"\s")
+
+#: Terms and weights, side by side or as a dictionary.
+Vector = tuple[np.ndarray, np.ndarray] | dict[int, float]
+Found = list[tuple[float, int]]
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def bag(text: str | None) -> Counter:
+    """How often a text has each of its words; a long text is read in pieces that end at white space."""
+    if not text:
+        return Counter()
+    if len(text) <= PIECE:
+        return Counter(words(text))
+    found, at = Counter(), 0
+    while at < len(text):
+        space = _SPACE.search(text, at + PIECE)
+        end = space.start() if space else len(text)
+        found.update(words(text[at:end]))
+        at = end
+    return found
+
+
 def spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of some ranges, one behind another, and the ranges' lengths."""
     lengths = ends - begins
     return np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum()), lengths
 
 
+def sides(vector: Vector) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(vector, dict):
+        return np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
+    return vector
+
+
 class BlockMaxIndex:
-    """Unit vectors in blocks with the largest weight of each term in each block."""
+    """Unit vectors: postings of rare terms, and blocks of frequent ones with their largest weights."""
 
-    def __init__(self, vectors: list[dict[int, float]], n_terms: int) -> None:
+    def __init__(self, vectors: list[Vector], n_terms: int) -> None:
+        vectors = [sides(v) for v in vectors]
         self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
-        sizes = np.array([len(v) for v in vectors], np.int64)
-        terms = np.array([t for v in vectors for t in v], np.int32)
-        weights = np.array([w for v in vectors for w in v.values()], float)
-        order = np.argsort(terms, kind="stable")
-        self.rows, self.weights = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[order], weights[order]
-        # A segment is the postings of one term in one block.
-        key = terms[order].astype(np.int64) * self.blocks + self.rows // BLOCK
-        start = np.flatnonzero(np.diff(key, prepend=-1))
-        self.start = np.append(start, len(key)).astype(np.int32)
-        self.block = (key[start] % max(1, self.blocks)).astype(np.int32)
-        largest = np.maximum.reduceat(self.weights, start) if len(start) else np.zeros(0)
-        # Rounded up, so that bounds hold.
-        self.maxima = np.nextafter(largest.astype(np.float32), np.float32(2))
-        self.first = np.searchsorted(key[start], np.arange(n_terms + 1) * self.blocks).astype(np.int32)
-
-    def top(self, vector: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k largest (cosine, entry) of entries with a common term; ties go to the earlier entry."""
-        terms, factors = np.fromiter(vector, np.int64, len(vector)), np.fromiter(vector.values(), float, len(vector))
-        segments, lengths = spread(self.first[terms].astype(np.int64), self.first[terms + 1].astype(np.int64))
-        factors, block = np.repeat(factors, lengths), self.block[segments]
-        bounds = np.bincount(block, factors * self.maxima[segments], self.blocks) * (1 + 1e-12)
-        order = np.argsort(-bounds, kind="stable")
-        scores, entries, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 8
-        while at < self.blocks:
-            least = scores[-1] if len(scores) == k else 0.0
-            read = order[at : at + step]
-            read = read[(bounds[read] > 0) & (bounds[read] >= least)]
-            if not len(read):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[read] = True
-            mine = wanted[block]
-            places, lengths = spread(self.start[segments[mine]].astype(np.int64), self.start[segments[mine] + 1].astype(np.int64))
-            sums = np.bincount(self.rows[places], np.repeat(factors[mine], lengths) * self.weights[places], self.n)
-            found = np.flatnonzero(sums > 0)
-            found = found[found != skip]
-            scores, entries = np.concatenate([scores, sums[found]]), np.concatenate([entries, found])
-            if len(scores) > k:
-                near = scores >= -np.partition(-scores, k - 1)[k - 1]
-                scores, entries = scores[near], entries[near]
-            best = np.lexsort((entries, -scores))[:k]
-            scores, entries = scores[best], entries[best]
-            at, step = at + step, 4 * step
-        return list(zip(scores.tolist(), entries.tolist()))
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(sizes)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
+        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
+        self.n_terms = n_terms
+        seen = np.bincount(self.terms, minlength=n_terms)
+        frequent = np.flatnonzero(seen * FREQUENT > self.n)
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        rows = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        column = self.column[self.terms]
+        in_block = column >= 0
+        self.dense = np.zeros((len(frequent), self.blocks * BLOCK), np.float32)
+        self.dense[column[in_block], rows[in_block]] = self.weights[in_block]
+        self.maxima = self.dense.reshape(len(frequent), self.blocks, BLOCK).max(2)
+        rare = np.flatnonzero(~in_block)
+        rare = rare[np.argsort(self.terms[rare], kind="stable")]
+        self.posted, self.posted_weights = rows[rare], self.weights[rare].astype(np.float32)
+        self.first = np.searchsorted(self.terms[rare], np.arange(n_terms + 1)).astype(np.int32)
+        # What a sum of products of unit vectors can lose in single precision.
+        self.slack = (len(frequent) + 64) * 2.0**-23
+        self.read = 0
+
+    def top(self, vector: Vector, k: int) -> Found:
+        return self.top_many([vector], k)[0]
+
+    def top_many(self, vectors: list[Vector], k: int) -> list[Found]:
+        """For each vector the k largest (cosine, entry) of entries with a common term; ties go to the earlier entry."""
+        out: list[Found] = []
+        for begin in range(0, len(vectors), TOGETHER):
+            out += self._top(vectors[begin : begin + TOGETHER], k)
+        return out
+
+    def _top(self, vectors: list[Vector], k: int) -> list[Found]:
+        vectors, n, width = [sides(v) for v in vectors], len(vectors), self.blocks * BLOCK
+        if not self.blocks:
+            return [[] for _ in vectors]
+        wanted = np.zeros((n, len(self.dense)), np.float32)
+        scores = np.zeros((n, width), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            column = self.column[terms]
+            wanted[i, column[column >= 0]] = weights[column >= 0]
+            few = terms[column < 0]
+            places, lengths = spread(self.first[few].astype(np.int64), self.first[few + 1].astype(np.int64))
+            scores[i] = np.bincount(self.posted[places], np.repeat(weights[column < 0], lengths) * self.posted_weights[places], width)
+        bounds = (scores.reshape(n, self.blocks, BLOCK).max(2) + wanted @ self.maxima) * (1 + self.slack) + self.slack
+        first = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(first, np.argpartition(-bounds, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
+        known = np.zeros((n, width), bool)
+        self._add(wanted, scores, known, first)
+        enough = min(k, width)
+
+        def kth() -> np.ndarray:
+            return -np.partition(np.where(known, -scores, np.inf), enough - 1, axis=1)[:, enough - 1]
+
+        # Too few entries so far bound nothing.
+        least = np.maximum(np.where(np.isfinite(at := kth()), at, 0.0), 0.0)
+        self._add(wanted, scores, known, ~first & (bounds >= least[:, None] - self.slack))
+        least = np.maximum(np.where(np.isfinite(at := kth()), at, 0.0), 0.0) - 2 * self.slack
+        near = known & (scores >= least[:, None]) & (scores > 0)
+        near[:, self.n :] = False
+        own, out = np.zeros(self.n_terms), []
+        for i, (terms, weights) in enumerate(vectors):
+            entries = np.flatnonzero(near[i])
+            own[terms] = weights
+            places, lengths = spread(self.begin[entries], self.begin[entries + 1])
+            products = np.append(own[self.terms[places]] * self.weights[places], 0.0)
+            exact = np.add.reduceat(products, np.cumsum(lengths) - lengths) if len(entries) else products[:0]
+            own[terms] = 0.0
+            entries, exact = entries[exact > 0], exact[exact > 0]
+            best = np.lexsort((entries, -exact))[:k]
+            out.append(list(zip(exact[best].tolist(), entries[best].tolist())))
+        return out
+
+    def _add(self, wanted: np.ndarray, scores: np.ndarray, known: np.ndarray, chosen: np.ndarray) -> None:
+        """Read the chosen blocks of frequent terms of each query."""
+        self.read += int(chosen.sum())
+        for block in np.flatnonzero(chosen.any(0)).tolist():
+            rows, there = np.flatnonzero(chosen[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+            scores[rows, there] += wanted[rows] @ self.dense[:, there]
+            known[rows, there] = True
 
 
 class NearestExamples:
@@ -117,9 +191,9 @@ class NearestExamples:
         self.none = prior
         self.index: BlockMaxIndex | None = None
 
-    def vector(self, terms: np.ndarray, times: np.ndarray) -> dict[int, float]:
+    def vector(self, terms: np.ndarray, times: np.ndarray) -> Vector:
         weights = (1 + np.log(times)) * self.weight[terms]
-        return dict(zip(terms.tolist(), (weights / math.sqrt(weights @ weights)).tolist()))
+        return terms, weights / math.sqrt(weights @ weights)
 
     def fit(self, terms: list[str], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: dict[int, float], none: float) -> None:
         """``examples``: (doc_id, label, ascending terms, times); ``shares``: sampled share of either class."""
@@ -139,9 +213,9 @@ class NearestExamples:
         ordered = sorted(votes.items(), key=heaviest)
         vectors = [self.vector(v[3], v[4]) for _, v in ordered]
         self.votes = np.array([v[:2] for _, v in ordered])
-        self.doc_ids = [v[2] for _, v in ordered]
+        self.doc_ids = np.array([v[2] for _, v in ordered], np.int64)
         self.index = BlockMaxIndex(vectors, len(terms))
-        near = [self.index.top(v, NEIGHBOURS) for v in vectors]
+        near = self.index.top_many(vectors, NEIGHBOURS)
         place = {key: i for i, (key, _) in enumerate(ordered)}
         x, y, w = [], [], []
         for key, (_, label, _, _) in zip(keys, examples):
@@ -153,41 +227,42 @@ class NearestExamples:
             w.append(1 / shares[label])
         self.curve = logistic(np.array(x), np.array(y, float), np.array(w))
 
-    def _share(self, found: list[tuple[float, int]]) -> float:
+    def _share(self, found: Found) -> float:
         """Log odds of toxic votes, smoothed by one vote at the prior."""
         near = np.array([1 / (max(0.0, 1 - c) + SMOOTH) for c, _ in found])
         clean, toxic = near @ self.votes[[i for _, i in found]] if found else (0.0, 0.0)
         return math.log((toxic + self.prior) / (clean + 1 - self.prior))
 
-    def found(self, text: str | None) -> list[tuple[float, int]] | None:
-        """Cosines and entries of the nearest examples; nothing for a text without words of the vocabulary."""
-        counts = self.counts(text) if self.index is not None else {}
-        if not counts:
-            return None
-        ids, times = np.array(sorted(counts.items())).T
-        return self.index.top(self.vector(ids, times), NEIGHBOURS)
-
-    def scored(self, found: list[tuple[float, int]] | None) -> float:
+    def found(self, texts: list[str | None]) -> list[Found | None]:
+        """Cosines and entries of each text's nearest examples; None for a text without words of the vocabulary."""
+        terms, vectors, places = self.terms, [], []
+        out: list[Found | None] = [None] * len(texts)
+        if self.index is None:
+            return out
+        for i, text in enumerate(texts):
+            if counts := {terms[w]: n for w, n in bag(text).items() if w in terms}:
+                ids, times = np.array(sorted(counts.items())).T
+                vectors.append(self.vector(ids, times))
+                places.append(i)
+        for i, found in zip(places, self.index.top_many(vectors, NEIGHBOURS)):
+            out[i] = found
+        return out
+
+    def scored(self, found: Found | None) -> float:
         if found is None:
             return self.none
         return 1 / (1 + math.exp(-(self.curve[0] * self._share(found) + self.curve[1])))
 
-    def evidence(self, found: list[tuple[float, int]] | None) -> list[tuple[float, int]]:
-        """What a score rests on: cosines and doc_ids of the nearest examples."""
-        return [(c, self.doc_ids[i]) for c, i in found or []]
-
-    def counts(self, text: str | None) -> dict[int, int]:
-        """How often a text has each word of the vocabulary."""
-        terms = self.terms
-        return {terms[w]: n for w, n in Counter(words(text)).items() if w in terms} if text else {}
-
-    def score(self, text: str | None) -> float:
-        key = xxhash.xxh3_128_digest((text or "").encode())
-        if (known := self.known.get(key)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            known = self.known[key] = self.scored(self.found(text))
-        return known
+    def verdicts(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text the score and what it rests on: cosines and doc_ids of the nearest examples. Texts met before are remembered."""
+        keys = [xxhash.xxh3_128_digest((t or "").encode()) for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = {k: t for k, t in zip(keys, texts) if k not in self.known}
+        for key, found in zip(new, self.found(list(new.values()))):
+            cosines = np.array([c for c, _ in found or []])
+            self.known[key] = self.scored(found), cosines, self.doc_ids[[i for _, i in found]] if found else np.zeros(0, np.int64)
+        return [self.known[k] for k in keys]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -217,9 +292,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin in range(0, batch.num_rows, 256):
             part = batch.slice(begin, 256)
             texts = part.column(1).to_pylist()
-            counts, prints = [Counter(words(t)) for t in texts], [fingerprint(t) for t in texts]
-            maps = pa.array([list(c.items()) for c in counts], pa.map_(pa.string(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(prints, pa.int64()), maps], ["doc_id", "label", "print", "counts"])
+            maps = pa.array([list(bag(t).items()) for t in texts], pa.map_(pa.string(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([fingerprint(t) for t in texts], pa.int64()), maps], ["doc_id", "label", "print", "counts"])
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -232,72 +306,94 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.n
     return np.maximum(total, 0.0)
 
 
+def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` each of the terms is, and how many rows there are. As many numbers as terms reach the driver."""
+    place = {t: i for i, t in enumerate(terms)}
+    known = place.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = np.zeros(len(place), np.int64), 0
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                if text:
+                    seen[[place[w] for w in known & bag(text).keys()]] += 1
+        there = np.flatnonzero(seen)
+        numbers = np.append(there, -1), np.append(seen[there], rows)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in numbers], ["term", "n"])
+
+    # Partitions add up before the shuffle; rows themselves are counted as term -1.
+    counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found, term, n = np.zeros(len(terms), np.int64), np.asarray(counts.column("term")), np.asarray(counts.column("n"))
+    found[term[term >= 0]] = n[term >= 0]
+    return found, int(n[term < 0].sum())
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> NearestExamples:
-    """Vocabulary, index and calibration from a bounded sample of labelled rows."""
+    """Vocabulary, index and calibration from a bounded sample of labelled rows, document frequencies from all rows."""
     ship(docs.sparkSession)
     sample, counts = training_rows(docs, labels, label, per_class)
     total = sum(counts.values())
     model = NearestExamples(counts.get(1, 0) / total if total else 0.0)
-    bags = sample.mapInArrow(_counted, "doc_id long, label int, print long, counts map<string,int>").persist()
-    try:
-        n = {int(r.label): int(r["count"]) for r in bags.groupBy("label").count().collect()}
-        if len(n) < 2:
-            return model
-        # Copies of one text are one witness for its words.
-        witnesses = {int(r.label): float(r.n) for r in bags.groupBy("label").agg(F.count_distinct("print").alias("n")).collect()}
-        n1, n0 = witnesses[1], witnesses[0]
-        size = n1 + n0
-        # The vocabulary is bounded by the words of the sample.
-        chosen = (
-            bags.select("label", "print", F.explode("counts").alias("term", "times")).select("term", "label", "print").distinct()
-            .groupBy("term").agg(F.sum("label").cast("double").alias("n1"), F.sum(1 - F.col("label")).cast("double").alias("n0"))
-            .filter(F.col("n1") + F.col("n0") >= LEAST_DOCS).orderBy("term").toArrow()
-        )
-        terms = chosen.column("term").to_pylist()
-        if not terms:
-            return model
-        a, b = np.asarray(chosen.column("n1")), np.asarray(chosen.column("n0"))
-        weight = (np.log((1 + size) / (1 + a + b)) + 1) * np.sqrt(1 + likelihood_ratio(a, b, n1, n0))
-        place = {t: i for i, t in enumerate(terms)}
-
-        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                pairs = [sorted((place[t], n) for t, n in counts if t in place) for counts in batch.column(3).to_pylist()]
-                arrays = [pa.array([[p[i] for p in row] for row in pairs], pa.list_(pa.int32())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "label", "terms", "times"])
-
-        found = bags.mapInArrow(numbered, "doc_id long, label int, terms array<int>, times array<int>").filter("size(terms) > 0").toArrow().combine_chunks().sort_by("doc_id")
-    finally:
-        bags.unpersist()
+    found = sample.mapInArrow(_counted, "doc_id long, label int, print long, counts map<string,int>").toArrow().combine_chunks().sort_by("doc_id")
+    kinds = np.asarray(found.column("label"))
+    n = {c: int((kinds == c).sum()) for c in (0, 1)}
+    if not (n[0] and n[1]):
+        return model
+    bags = found.column("counts").combine_chunks()
+    sizes = np.diff(np.asarray(bags.offsets))
+    # The vocabulary is bounded by the words of the sample.
+    coded = bags.keys.dictionary_encode()
+    order = np.argsort(np.asarray(coded.dictionary.to_pylist(), object), kind="stable")
+    terms = [t.as_py() for t in coded.dictionary.take(pa.array(order))]
+    if not terms:
+        return model
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    ids, times = rank[np.asarray(coded.indices)], np.asarray(bags.items)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    # Copies of one text are one witness for its words.
+    _, witness = np.unique(np.stack([kinds.astype(np.int64), np.asarray(found.column("print"))]), axis=1, return_inverse=True)
+    voices = [len(np.unique(witness[kinds == c])) for c in (0, 1)]
+    pairs = np.unique(ids.astype(np.int64) * (int(witness.max()) + 1) + witness[owner])
+    kind_of = np.zeros(int(witness.max()) + 1, np.int64)
+    kind_of[witness] = kinds
+    of_term, is_toxic = pairs // len(kind_of), kind_of[pairs % len(kind_of)]
+    a, b = (np.bincount(of_term[is_toxic == c], minlength=len(terms)).astype(float) for c in (1, 0))
+    seen, rows = document_frequencies(docs, terms)
+    weight = (np.log((1 + rows) / (1 + np.minimum(seen, rows))) + 1) * np.sqrt(1 + likelihood_ratio(a, b, float(voices[1]), float(voices[0])))
     shares = {c: n[c] / counts[c] for c in (0, 1)}
-    bags_of = [[x.values.to_numpy() for x in found.column(c)] for c in ("terms", "times")]
-    examples = list(zip(found.column("doc_id").to_pylist(), found.column("label").to_pylist(), *bags_of))
-    seen = Counter(e[1] for e in examples)
-    without = {c: (n[c] - seen[c]) / shares[c] for c in (0, 1)}
+    examples, ends, without = [], np.cumsum(sizes), {0: 0.0, 1: 0.0}
+    doc_ids = found.column("doc_id").to_pylist()
+    for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
+        c = int(kinds[i])
+        if not size:
+            without[c] += 1 / shares[c]
+            continue
+        mine = np.argsort(ids[end - size : end])
+        examples.append((doc_ids[i], c, ids[end - size : end][mine], times[end - size : end][mine]))
     none = (without[1] + model.prior) / (without[0] + without[1] + 1)
     model.fit(terms, weight, examples, shares, none)
     return model
 
 
-def score(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD, evidence: bool = True) -> DataFrame:
-    """doc_id, held_out, score, predicted and, if asked for, the neighbours' (cosine, doc_id) of every row."""
-    kind = pa.list_(pa.struct([("cosine", pa.float64()), ("doc_id", pa.int64())]))
+def score(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted and evidence, the nearest examples' (cosine, doc_id), of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if evidence:
-                found = [model.found(t) for t in texts]
-                arrays = [batch.column(0), pa.array([model.scored(f) for f in found], pa.float64())]
-                arrays.append(pa.array([[{"cosine": c, "doc_id": d} for c, d in model.evidence(f)] for f in found], kind))
-            else:
-                arrays = [batch.column(0), pa.array([model.score(t) for t in texts], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", *["evidence"] * evidence])
+            for begin in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(begin, TOGETHER)
+                found = model.verdicts(part.column(1).to_pylist())
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(c) for _, c, _ in found])]), pa.int32())
+                near = [pa.array(np.concatenate([f[i] for f in found])) for i in (1, 2)]
+                evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(near, ["cosine", "doc_id"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     ship(docs.sparkSession)
-    schema = "doc_id long, score double" + ", evidence array<struct<cosine:double,doc_id:bigint>>" * evidence
+    schema = "doc_id long, score double, evidence array<struct<cosine:double,doc_id:bigint>>"
     scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *["evidence"] * evidence)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
 
 
 def accepted(docs: DataFrame, model: NearestExamples, threshold: float = THRESHOLD) -> DataFrame:
@@ -305,7 +401,9 @@ def accepted(docs: DataFrame, model: NearestExamples, threshold: float = THRESHO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+            for begin in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(begin, TOGETHER)
+                yield part.filter(pa.array([v[0] < threshold for v in model.verdicts(part.column(at).to_pylist())], pa.bool_()))
 
     ship(docs.sparkSession)
     at = docs.columns.index("text")

@@ -151,3 +151,151 @@ def test_whole_texts_count():
     x, counts = quality.encode(["a" * 10_000 + "%" * 100])
     assert counts[0] == 20 and x[-1, ord("%")] > 0
     assert Counter(toxicity.words("Ünter_x9 y")) == Counter(["ünter", "x", "y"])
+
+
+def dense_scores(rows, labels, k):
+    """Cosines of all texts to all examples in one dense matrix; {doc_id: (score, neighbours' cosines)}."""
+    bags = {}
+    for d, t, *_ in rows:
+        bags.setdefault(d, Counter(toxicity.words(t or "")))
+    examples = sorted(d for d, *_ in labels if d in bags and zlib.crc32(str(d).encode()) % 5)
+    kind = {d: c for d, _, c in labels}
+    vocabulary = sorted({w for d in examples for w in bags[d]})
+    seen = np.array([sum(w in toxicity.words(t or "") for _, t, *_ in rows) for w in vocabulary])
+    voices = {c: {toxicity.fingerprint(dict((r[0], r[1]) for r in reversed(rows))[d] or "") for d in examples if kind[d] == c} for c in (0, 1)}
+    text = dict((r[0], r[1] or "") for r in reversed(rows))
+    ratio = []
+    for w in vocabulary:
+        a, b = (len({toxicity.fingerprint(text[d]) for d in examples if kind[d] == c and w in bags[d]}) for c in (1, 0))
+        ratio.append(toxicity.likelihood_ratio(np.array([a]), np.array([b]), len(voices[1]), len(voices[0]))[0])
+    weight = (np.log((1 + len(rows)) / (1 + seen)) + 1) * np.sqrt(1 + np.array(ratio))
+
+    def vector(bag):
+        v = np.array([(1 + np.log(bag[w])) * x if bag[w] else 0.0 for w, x in zip(vocabulary, weight)])
+        return v / np.linalg.norm(v) if v.any() else v
+
+    matrix = np.array([vector(bags[d]) for d in examples])
+    n = {c: sum(kind[d] == c for d in examples) for c in (0, 1)}
+    total = {c: sum(x == c for d, _, x in labels if d is not None and zlib.crc32(str(d).encode()) % 5) for c in (0, 1)}
+    prior = total[1] / (total[0] + total[1])
+    # Equal vectors are one entry with all their votes.
+    groups, votes = [], []
+    for row, d in zip(matrix, examples):
+        place = next((i for i, g in enumerate(groups) if np.array_equal(g, row)), None)
+        if place is None:
+            place = len(groups)
+            groups.append(row)
+            votes.append([0.0, 0.0])
+        votes[place][kind[d]] += total[kind[d]] / n[kind[d]]
+    groups, votes = np.array(groups), np.array(votes)
+
+    def share(v, less=None):
+        cosine = groups @ v
+        near = [i for i in np.lexsort((np.arange(len(cosine)), -np.round(cosine, 12)))[:k] if cosine[i] > 0]
+        w = 1 / (np.maximum(0, 1 - cosine[near]) + toxicity.SMOOTH)
+        own = votes[near].copy()
+        if less:
+            own[[i for i, x in enumerate(near) if np.array_equal(groups[x], v)], less[0]] -= less[1]
+        clean, toxic = w @ own
+        return np.log((toxic + prior) / (clean + 1 - prior)), cosine[near]
+
+    x = np.array([share(row, (kind[d], total[kind[d]] / n[kind[d]]))[0] for row, d in zip(matrix, examples)])
+    curve = toxicity.logistic(x, np.array([kind[d] for d in examples], float), np.array([total[kind[d]] / n[kind[d]] for d in examples]))
+    out = {}
+    for d, bag in bags.items():
+        v = vector(bag)
+        if v.any():
+            found, cosines = share(v)
+            out[d] = 1 / (1 + np.exp(-(curve[0] * found + curve[1]))), cosines
+    return out
+
+
+def test_toxicity_equals_dense_brute_force(spark):
+    rng = random.Random(11)
+    words = [a + b + c for a in ("ba", "ko", "ri") for b in ("n", "m", "t") for c in ("a", "e", "i", "o")]
+    rows, labels = [], []
+    for i in range(240):
+        toxic = int(i % 5 == 1)
+        w = [rng.choice(words) for _ in range(rng.randint(4, 60))] + [f"own{chr(97 + i % 26)}{chr(97 + i // 26)}"] + ["snork", "flitz"][: toxic * rng.randint(1, 2)]
+        rows.append((i, " ".join(w), "x", 3))
+        labels.append((i, 1, toxic))
+    rows += [(1000, None, "x", 3), (1001, "nothing known", "x", 3), (1002, "snork", "x", 3), rows[3], (1003, rows[6][1], "x", 3)]
+    table, marked = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.train(table, marked)
+    want = dense_scores(rows, labels, toxicity.NEIGHBOURS)
+    got = toxicity.score(table, model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id in want:
+            score, cosines = want[r.doc_id]
+            assert abs(r.score - score) < 1e-6 and np.allclose([e.cosine for e in r.evidence], cosines, atol=1e-9), r.doc_id
+        else:
+            assert r.evidence == [] and r.score == model.none
+    assert set(want) == {r[0] for r in rows} - {1000, 1001}
+
+
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(4)
+    # Groups of entries with a heavy term of their own, and frequent light ones.
+    vectors = []
+    for i in range(2000):
+        terms = np.array([100 + i // 100, *rng.choice(20, 5, replace=False)])
+        w = np.array([3.0, *rng.random(5)])
+        vectors.append((terms, w / np.sqrt((w * w).sum())))
+    index = toxicity.BlockMaxIndex(vectors, 200)
+    for batch in (vectors[::31], vectors[5:6]):
+        index.read = 0
+        got = index.top_many(batch, 10)
+        assert index.read < 0.3 * len(batch) * index.blocks
+        for (terms, weights), found in zip(batch, got):
+            every = sorted(((-sum(w * dict(zip(*v)).get(t, 0) for t, w in zip(terms, weights)), i) for i, v in enumerate(vectors)))[:10]
+            assert np.allclose([-s for s, _ in every], [c for c, _ in found], atol=1e-12)
+
+
+def test_a_doc_id_is_one_example(spark):
+    from loamline.llm.labelled import training_rows
+
+    docs = spark.createDataFrame([(1, "b", "x", 3)] * 500 + [(1, "a", "x", 3), (2, "c", "x", 3), (3, "d" * 300_000, "x", 3)], SCHEMA)
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = training_rows(docs, labels, "toxic", 10)[0].collect()
+    assert {(r.doc_id, r.text, r.label) for r in rows} <= {(1, "a", 1), (2, "c", 0)} and len(rows) == len({r.doc_id for r in rows})
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    text = "ΑΣ ΌΣΟΣ aΣ " * 50 + "x1y " * 30
+    whole = toxicity.bag(text)
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    assert toxicity.bag(text) == whole == Counter(toxicity.words(text))
+
+
+def test_quality_equals_one_document_at_a_time(spark, tables):
+    """Gated attention written out for one document, passage by passage."""
+    docs, labels, _, _ = tables
+    model = quality.train(docs, labels, per_class=200)
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+
+    def by_hand(text):
+        raw, w = (text or "").encode(), (text or "").split()
+        repeats = 1 - len(set(w)) / len(w) if w else 0
+        hidden, gates = [], []
+        for at in range(0, max(1, len(raw)), quality.PASSAGE_BYTES):
+            part = raw[at : at + quality.PASSAGE_BYTES]
+            x = np.zeros(quality.WIDTH)
+            for c in part:
+                x[c] += 1
+            for c, d in zip(part, part[1:]):
+                x[256 + (c * 31 + d * 17) % quality.PAIR_BINS] += 1
+            x = np.sqrt(x / max(1, len(part)))
+            x[-2], x[-1] = len(part) / quality.PASSAGE_BYTES, repeats
+            h = np.maximum(x @ p["W"] + p["b"], 0)
+            hidden.append(h)
+            gates.append(p["w"] @ (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))))
+        a = np.exp(np.array(gates) - max(gates))
+        z = (a / a.sum()) @ np.array(hidden)
+        return 1 / (1 + np.exp(-(z @ p["c"] + p["d"][0] + model.shift)))
+
+    text = {}
+    for r in docs.collect():
+        text.setdefault(r.doc_id, r.text)
+    for r in quality.score(docs, model).collect():
+        assert abs(r.score - by_hand(text[r.doc_id])) < 1e-4, r.doc_id
