@@ -6,7 +6,8 @@ their words. A word weighs its TF-IDF times sqrt(1 + G): document frequencies ar
 of all documents, and G is the word's log-likelihood ratio between the classes of
 the examples, so no word is lighter than in TF-IDF, and words whose classes differ are
 heavier. Sums in single precision with a margin for their rounding choose the
-candidates, whose cosines are then taken in double precision.
+candidates, whose cosines are then taken in double precision. Words are told apart by
+64-bit hashes.
 
 Examples with the same vector are one entry that counts its votes. The index is an
 inverted one: the postings of rare words lie one behind another, those of words
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamline.llm.labelled import held_out, training_rows
-from loamline.llm.wordhash import hash_runs, hash_words
+from loamline.llm.wordhash import HashTable, hash_letters, hash_runs, hash_words
 from loamline.session import ship
 
 PER_CLASS = 4000
@@ -49,7 +51,7 @@ NEIGHBOURS, BLOCK, SMOOTH = 25, 64, 0.05
 #: A word is frequent if one in so many entries has it.
 FREQUENT = 20
 #: Blocks that are read before any k-th cosine is known, and queries that are searched together.
-FIRST_BLOCKS, TOGETHER = 4, 128
+FIRST_BLOCKS, TOGETHER = 4, 32
 THRESHOLD = 0.5
 REMEMBERED = 20_000
 #: Characters of a text whose words are listed at once.
@@ -60,28 +62,60 @@ _SPACE = re.compile(r"\s")
 
 #: Terms and weights, side by side or as a dictionary.
 Vector = tuple[np.ndarray, np.ndarray] | dict[int, float]
-Found = list[tuple[float, int]]
+#: Cosines, largest first, and entries.
+Found = tuple[np.ndarray, np.ndarray]
+#: What a worker has built from the model that it scores with last: it outlives tasks.
+_BUILT: dict[str, tuple] = {}
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def bag(text: str | None) -> Counter:
-    """How often a text has each of its words; a long text is read in pieces that end at white space."""
-    if not text:
-        return Counter()
-    if len(text) <= PIECE:
-        return Counter(words(text))
-    found, at = Counter(), 0
-    while at < len(text):
-        space = _SPACE.search(text, at + PIECE)
+def pieces(text: str | None) -> Iterator[str]:
+    """The text, if it is long in pieces that end at white space."""
+    at = 0
+    while text and at < len(text):
+        space = _SPACE.search(text, at + PIECE) if at + PIECE < len(text) else None
         end = space.start() if space else len(text)
-        found.update(words(text[at:end]))
+        yield text[at:end]
         at = end
+
+
+def bag(text: str | None) -> Counter:
+    """How often a text has each of its words."""
+    found = Counter()
+    for piece in pieces(text):
+        found.update(words(piece))
     return found
 
 
+def counted_terms(texts: list[str | None], vocabulary: HashTable) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ascending numbers of each text's words of the vocabulary, and how often it has them."""
+    keys, held, owner = [np.zeros(0, np.int64)], [], []
+    size = len(vocabulary.numbers)
+
+    def flush() -> None:
+        if held:
+            hashes, of = hash_letters(held)
+            number = vocabulary.find(hashes)
+            keys.append((np.array(owner, np.int64)[of] * size + number)[number >= 0])
+            held.clear()
+            owner.clear()
+
+    for i, text in enumerate(texts):
+        for piece in pieces(text):
+            held.append(piece)
+            owner.append(i)
+            if sum(map(len, held)) >= PIECE:
+                flush()
+    flush()
+    key, times = np.unique(np.concatenate(keys), return_counts=True)
+    edge = np.searchsorted(key, np.arange(len(texts) + 1) * size)
+    key %= size
+    return [(key[b:e], times[b:e]) for b, e in zip(edge[:-1].tolist(), edge[1:].tolist())]
+
+
 def spread(begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of some ranges, one behind another, and the ranges' lengths."""
     lengths = ends - begins
@@ -123,8 +157,8 @@ class BlockMaxIndex:
         self.slack = (len(frequent) + 64) * 2.0**-23
         self.read = 0
 
-    def top(self, vector: Vector, k: int) -> Found:
-        return self.top_many([vector], k)[0]
+    def top(self, vector: Vector, k: int) -> list[tuple[float, int]]:
+        return list(zip(*(x.tolist() for x in self.top_many([vector], k)[0])))
 
     def top_many(self, vectors: list[Vector], k: int) -> list[Found]:
         """For each vector the k largest (cosine, entry) of entries with a common term; ties go to the earlier entry."""
@@ -136,15 +170,16 @@ class BlockMaxIndex:
     def _top(self, vectors: list[Vector], k: int) -> list[Found]:
         vectors, n, width = [sides(v) for v in vectors], len(vectors), self.blocks * BLOCK
         if not self.blocks:
-            return [[] for _ in vectors]
+            return [(np.zeros(0), np.zeros(0, np.int64)) for _ in vectors]
         wanted = np.zeros((n, len(self.dense)), np.float32)
-        scores = np.zeros((n, width), np.float32)
-        for i, (terms, weights) in enumerate(vectors):
-            column = self.column[terms]
-            wanted[i, column[column >= 0]] = weights[column >= 0]
-            few = terms[column < 0]
-            places, lengths = spread(self.first[few].astype(np.int64), self.first[few + 1].astype(np.int64))
-            scores[i] = np.bincount(self.posted[places], np.repeat(weights[column < 0], lengths) * self.posted_weights[places], width)
+        terms, weights = (np.concatenate(x) for x in zip(*vectors))
+        query, column = np.repeat(np.arange(n), [len(t) for t, _ in vectors]), self.column[terms]
+        in_block = column >= 0
+        wanted[query[in_block], column[in_block]] = weights[in_block]
+        few = terms[~in_block]
+        places, lengths = spread(self.first[few].astype(np.int64), self.first[few + 1].astype(np.int64))
+        products = np.repeat(weights[~in_block].astype(np.float32), lengths) * self.posted_weights[places]
+        scores = np.bincount(np.repeat(query[~in_block] * width, lengths) + self.posted[places], products, n * width).astype(np.float32).reshape(n, width)
         bounds = (scores.reshape(n, self.blocks, BLOCK).max(2) + wanted @ self.maxima) * (1 + self.slack) + self.slack
         first = np.zeros((n, self.blocks), bool)
         np.put_along_axis(first, np.argpartition(-bounds, min(FIRST_BLOCKS, self.blocks) - 1, axis=1)[:, :FIRST_BLOCKS], True, axis=1)
@@ -171,7 +206,7 @@ class BlockMaxIndex:
             own[terms] = 0.0
             entries, exact = entries[exact > 0], exact[exact > 0]
             best = np.lexsort((entries, -exact))[:k]
-            out.append(list(zip(exact[best].tolist(), entries[best].tolist())))
+            out.append((exact[best], entries[best]))
         return out
 
     def _add(self, wanted: np.ndarray, scores: np.ndarray, known: np.ndarray, chosen: np.ndarray) -> None:
@@ -184,20 +219,41 @@ class BlockMaxIndex:
 
 
 class NearestExamples:
-    """Vocabulary, index, votes and calibration; what executors need to score."""
+    """Vocabulary, index, votes and calibration."""
 
     def __init__(self, prior: float) -> None:
-        self.prior, self.terms, self.known = prior, {}, {}
-        self.none = prior
-        self.index: BlockMaxIndex | None = None
+        self.prior = self.none = prior
+        self.words = pa.array([], pa.string())
+        self.key, self.known, self.index, self.vocabulary = uuid.uuid4().hex, {}, None, None
+
+    @property
+    def terms(self) -> list[str]:
+        """The words of the vocabulary."""
+        return sorted({w for joined in self.words.to_pylist() for w in joined.split()})
+
+    def __getstate__(self) -> dict:
+        """What executors need to build the index again; the words themselves stay here."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "known", "index", "vocabulary")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, words=pa.array([], pa.string()))
+        if self.key not in _BUILT:
+            _BUILT.clear()
+            _BUILT[self.key] = (*self.built(), {}) if hasattr(self, "hashes") else (None, None, {})
+        self.index, self.vocabulary, self.known = _BUILT[self.key]
+
+    def built(self) -> tuple[BlockMaxIndex, HashTable]:
+        ends = np.cumsum(self.sizes)
+        vectors = [self.vector(self.entry_terms[e - n : e], self.entry_times[e - n : e]) for e, n in zip(ends.tolist(), self.sizes.tolist())]
+        return BlockMaxIndex(vectors, len(self.weight)), HashTable(self.hashes)
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> Vector:
         weights = (1 + np.log(times)) * self.weight[terms]
         return terms, weights / math.sqrt(weights @ weights)
 
-    def fit(self, terms: list[str], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: dict[int, float], none: float) -> None:
-        """``examples``: (doc_id, label, ascending terms, times); ``shares``: sampled share of either class."""
-        self.terms, self.weight, self.none = {t: i for i, t in enumerate(terms)}, weight, none
+    def fit(self, words: pa.StringArray, hashes: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: dict[int, float], none: float) -> None:
+        """``words``: those of each example; ``examples``: (doc_id, label, ascending terms, times); ``shares``: sampled share of either class."""
+        self.words, self.hashes, self.weight, self.none = words, hashes, weight, none
         votes: dict[bytes, list] = {}
         keys = []
         for doc_id, label, ids, times in examples:
@@ -211,11 +267,13 @@ class NearestExamples:
 
         # Entries with the same heavy terms lie together, so that blocks are tight.
         ordered = sorted(votes.items(), key=heaviest)
-        vectors = [self.vector(v[3], v[4]) for _, v in ordered]
+        self.entry_terms, self.entry_times = (np.concatenate([v[i] for _, v in ordered]).astype(np.int32) for i in (3, 4))
+        self.sizes = np.array([len(v[3]) for _, v in ordered])
         self.votes = np.array([v[:2] for _, v in ordered])
         self.doc_ids = np.array([v[2] for _, v in ordered], np.int64)
-        self.index = BlockMaxIndex(vectors, len(terms))
-        near = self.index.top_many(vectors, NEIGHBOURS)
+        self.index, self.vocabulary = self.built()
+        bounds = list(zip(self.index.begin[:-1].tolist(), self.index.begin[1:].tolist()))
+        near = self.index.top_many([(self.index.terms[b:e], self.index.weights[b:e]) for b, e in bounds], NEIGHBOURS)
         place = {key: i for i, (key, _) in enumerate(ordered)}
         x, y, w = [], [], []
         for key, (_, label, _, _) in zip(keys, examples):
@@ -229,21 +287,17 @@ class NearestExamples:
 
     def _share(self, found: Found) -> float:
         """Log odds of toxic votes, smoothed by one vote at the prior."""
-        near = np.array([1 / (max(0.0, 1 - c) + SMOOTH) for c, _ in found])
-        clean, toxic = near @ self.votes[[i for _, i in found]] if found else (0.0, 0.0)
+        clean, toxic = (1 / (np.maximum(0.0, 1 - found[0]) + SMOOTH)) @ self.votes[found[1]]
         return math.log((toxic + self.prior) / (clean + 1 - self.prior))
 
     def found(self, texts: list[str | None]) -> list[Found | None]:
         """Cosines and entries of each text's nearest examples; None for a text without words of the vocabulary."""
-        terms, vectors, places = self.terms, [], []
         out: list[Found | None] = [None] * len(texts)
         if self.index is None:
             return out
-        for i, text in enumerate(texts):
-            if counts := {terms[w]: n for w, n in bag(text).items() if w in terms}:
-                ids, times = np.array(sorted(counts.items())).T
-                vectors.append(self.vector(ids, times))
-                places.append(i)
+        counted = counted_terms(texts, self.vocabulary)
+        places = [i for i, (terms, _) in enumerate(counted) if len(terms)]
+        vectors = [self.vector(*counted[i]) for i in places]
         for i, found in zip(places, self.index.top_many(vectors, NEIGHBOURS)):
             out[i] = found
         return out
@@ -260,8 +314,8 @@ class NearestExamples:
             self.known.clear()
         new = {k: t for k, t in zip(keys, texts) if k not in self.known}
         for key, found in zip(new, self.found(list(new.values()))):
-            cosines = np.array([c for c, _ in found or []])
-            self.known[key] = self.scored(found), cosines, self.doc_ids[[i for _, i in found]] if found else np.zeros(0, np.int64)
+            cosines, entries = found or (np.zeros(0), np.zeros(0, np.int64))
+            self.known[key] = self.scored(found), cosines, self.doc_ids[entries] if len(entries) else entries
         return [self.known[k] for k in keys]
 
 
@@ -290,10 +344,15 @@ def fingerprint(text: str) -> int:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin in range(0, batch.num_rows, 256):
-            part = batch.slice(begin, 256)
-            texts = part.column(1).to_pylist()
-            maps = pa.array([list(bag(t).items()) for t in texts], pa.map_(pa.string(), pa.int32()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([fingerprint(t) for t in texts], pa.int64()), maps], ["doc_id", "label", "print", "counts"])
+            part, columns = batch.slice(begin, 256), [[], [], [], []]
+            for text in part.column(1).to_pylist():
+                found = bag(text)
+                joined = " ".join(found)
+                values = fingerprint(text), joined, hash_letters([joined])[0].tobytes(), np.fromiter(found.values(), np.int32).tobytes()
+                for column, value in zip(columns, values):
+                    column.append(value)
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *arrays], ["doc_id", "label", "print", "words", "hashes", "times"])
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
@@ -306,25 +365,24 @@ def likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.n
     return np.maximum(total, 0.0)
 
 
-def document_frequencies(docs: DataFrame, terms: list[str]) -> tuple[np.ndarray, int]:
-    """In how many rows of ``docs`` each of the terms is, and how many rows there are. As many numbers as terms reach the driver."""
-    place = {t: i for i, t in enumerate(terms)}
-    known = place.keys()
+def document_frequencies(docs: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` each word of the vocabulary is, and how many rows there are. As many numbers as words reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(len(place), np.int64), 0
+        vocabulary, seen, rows = HashTable(hashes), np.zeros(n_terms, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen[[place[w] for w in known & bag(text).keys()]] += 1
+            for begin in range(0, batch.num_rows, TOGETHER):
+                found = counted_terms(batch.column(0).slice(begin, TOGETHER).to_pylist(), vocabulary)
+                np.add.at(seen, np.concatenate([t for t, _ in found]), 1)
         there = np.flatnonzero(seen)
         numbers = np.append(there, -1), np.append(seen[there], rows)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in numbers], ["term", "n"])
 
+    n_terms = len(hashes)
     # Partitions add up before the shuffle; rows themselves are counted as term -1.
     counts = docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    found, term, n = np.zeros(len(terms), np.int64), np.asarray(counts.column("term")), np.asarray(counts.column("n"))
+    found, term, n = np.zeros(n_terms, np.int64), np.asarray(counts.column("term")), np.asarray(counts.column("n"))
     found[term[term >= 0]] = n[term >= 0]
     return found, int(n[term < 0].sum())
 
@@ -335,36 +393,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     sample, counts = training_rows(docs, labels, label, per_class)
     total = sum(counts.values())
     model = NearestExamples(counts.get(1, 0) / total if total else 0.0)
-    found = sample.mapInArrow(_counted, "doc_id long, label int, print long, counts map<string,int>").toArrow().combine_chunks().sort_by("doc_id")
+    found = sample.mapInArrow(_counted, "doc_id long, label int, print long, words string, hashes binary, times binary").toArrow()
     kinds = np.asarray(found.column("label"))
     n = {c: int((kinds == c).sum()) for c in (0, 1)}
     if not (n[0] and n[1]):
         return model
-    bags = found.column("counts").combine_chunks()
-    sizes = np.diff(np.asarray(bags.offsets))
+    order = np.argsort(np.asarray(found.column("doc_id")))
+    kinds, prints, doc_ids = kinds[order], np.asarray(found.column("print"))[order], np.asarray(found.column("doc_id"))[order].tolist()
+    times = [np.frombuffer(x, np.int32) for x in found.column("times").to_pylist()]
+    sizes, times = np.array([len(times[i]) for i in order]), np.concatenate([times[i] for i in order])
+    parts = found.column("hashes").to_pylist()
     # The vocabulary is bounded by the words of the sample.
-    coded = bags.keys.dictionary_encode()
-    order = np.argsort(np.asarray(coded.dictionary.to_pylist(), object), kind="stable")
-    terms = [t.as_py() for t in coded.dictionary.take(pa.array(order))]
-    if not terms:
+    hashes, ids = np.unique(np.frombuffer(b"".join([parts[i] for i in order]), np.uint64), return_inverse=True)
+    if not len(hashes):
         return model
-    rank = np.empty(len(order), np.int32)
-    rank[order] = np.arange(len(order))
-    ids, times = rank[np.asarray(coded.indices)], np.asarray(bags.items)
+    ids, words = ids.astype(np.int32), found.column("words").combine_chunks()
+    del found, parts
     owner = np.repeat(np.arange(len(sizes)), sizes)
     # Copies of one text are one witness for its words.
-    _, witness = np.unique(np.stack([kinds.astype(np.int64), np.asarray(found.column("print"))]), axis=1, return_inverse=True)
+    _, witness = np.unique(np.stack([kinds.astype(np.int64), prints]), axis=1, return_inverse=True)
     voices = [len(np.unique(witness[kinds == c])) for c in (0, 1)]
     pairs = np.unique(ids.astype(np.int64) * (int(witness.max()) + 1) + witness[owner])
     kind_of = np.zeros(int(witness.max()) + 1, np.int64)
     kind_of[witness] = kinds
     of_term, is_toxic = pairs // len(kind_of), kind_of[pairs % len(kind_of)]
-    a, b = (np.bincount(of_term[is_toxic == c], minlength=len(terms)).astype(float) for c in (1, 0))
-    seen, rows = document_frequencies(docs, terms)
+    a, b = (np.bincount(of_term[is_toxic == c], minlength=len(hashes)).astype(float) for c in (1, 0))
+    seen, rows = document_frequencies(docs, hashes)
     weight = (np.log((1 + rows) / (1 + np.minimum(seen, rows))) + 1) * np.sqrt(1 + likelihood_ratio(a, b, float(voices[1]), float(voices[0])))
     shares = {c: n[c] / counts[c] for c in (0, 1)}
     examples, ends, without = [], np.cumsum(sizes), {0: 0.0, 1: 0.0}
-    doc_ids = found.column("doc_id").to_pylist()
     for i, (end, size) in enumerate(zip(ends.tolist(), sizes.tolist())):
         c = int(kinds[i])
         if not size:
@@ -373,7 +430,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         mine = np.argsort(ids[end - size : end])
         examples.append((doc_ids[i], c, ids[end - size : end][mine], times[end - size : end][mine]))
     none = (without[1] + model.prior) / (without[0] + without[1] + 1)
-    model.fit(terms, weight, examples, shares, none)
+    model.fit(words, hashes, weight, examples, shares, none)
     return model
 
 

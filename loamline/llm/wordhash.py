@@ -7,7 +7,9 @@ is odd and so has an inverse) and finished by a mixing step.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 
@@ -85,3 +87,55 @@ def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         group.append(raw)
     if group:
         yield begin, group
+
+
+@cache
+def _letters() -> np.ndarray:
+    """A random hash for each code point that is a letter; 0 for others."""
+    every = "".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(0x110000))
+    found = np.zeros(len(every), _U)
+    for run in re.finditer(r"[^\W\d_]+", every):
+        found[run.start() : run.end()] = mix(np.arange(run.start() + 1, run.end() + 1, dtype=_U) * _U(_BASE)) | _U(1)
+    return found
+
+
+def hash_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters of lower-cased texts, and which text each is from."""
+    lowered = [t.lower() for t in texts]
+    codes = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le"), "<u4")
+    values = _letters()[codes]
+    edge = np.flatnonzero(np.diff(values != 0, prepend=False))
+    starts, ends = edge[0::2], edge[1::2]
+    power, inverse = powers(_BASE, len(codes))
+    sums = np.zeros(len(codes) + 1, _U)
+    np.cumsum(values * power, out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
+    return hashes, np.searchsorted(np.cumsum([len(t) + 1 for t in lowered]), starts, side="right")
+
+
+class HashTable:
+    """Numbers of distinct 64-bit hashes, by open addressing."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        size = 1 << max(4, int(2 * len(hashes)).bit_length())
+        self.mask = _U(size - 1)
+        self.keys, self.numbers = np.zeros(size, _U), np.full(size, -1, np.int32)
+        left = np.arange(len(hashes), dtype=np.int32)
+        at = (hashes & self.mask).astype(np.int64)
+        while len(left):
+            free = self.numbers[at] < 0
+            self.numbers[at[free]] = left[free]
+            here = self.numbers[at] == left
+            self.keys[at[here]] = hashes[left[here]]
+            left, at = left[~here], (at[~here] + 1) & (size - 1)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for unknown ones."""
+        at = (hashes & self.mask).astype(np.int64)
+        found = self.numbers[at]
+        left = np.flatnonzero((found >= 0) & (self.keys[at] != hashes))
+        while len(left):
+            at[left] = (at[left] + 1) & int(self.mask)
+            found[left] = self.numbers[at[left]]
+            left = left[(found[left] >= 0) & (self.keys[at[left]] != hashes[left])]
+        return found
