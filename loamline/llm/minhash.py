@@ -15,10 +15,15 @@ similarity is missed with a probability of about ``BAND_MISS`` by the bands and
 ``ESTIMATE_MISS`` by the estimate: 25 bands of 5 and an estimate of 0.65 at 0.85,
 32 of 4 and a lower one at 0.80.
 
+Rows are numbered when their signatures are written, so rows are told apart whatever
+their doc_ids are, and one row, the first of those with the smallest doc_id, stands
+for a class or a component.
+
 Defined cases: a document without words has an empty set, links with nothing and
 is kept; rows that share a doc_id are documents of their own, and repeated rows
-belong to one class; a class without any doc_id has no component_id and its rows
-are kept; texts may have any length; an empty table gives no row.
+belong to one class; a component without any doc_id has no component_id: all of its
+rows count as kept in :func:`near_duplicates`, one of them stays in :func:`representatives`;
+texts may have any length; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -29,8 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loamline.llm.components import components, links_within
 from loamline.llm.wordhash import grouped, hash_runs, hash_words, mix
@@ -44,7 +51,7 @@ PERCENT = 85
 BAND_MISS, ESTIMATE_MISS = 1e-6, 2e-8
 #: Classes of a chunk of a bucket; shingles of a chunk of a cluster.
 BUCKET_CHUNK, CLUSTER_CHUNK = 2048, 1 << 20
-#: Candidates (16 bytes each) are broadcast up to this many and joined by a shuffle beyond.
+#: Candidates (32 bytes each) and rows that go (8) are broadcast up to this many and joined by a shuffle beyond.
 BROADCAST_ROWS = 400_000
 
 _U = np.uint64
@@ -113,27 +120,31 @@ def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), signature and bands of every document; nulls where the set is empty."""
+    """The columns of ``docs`` as one struct, doc_id and text, with uid (a number of the row), n_shingles, node (hash of the set), signature and bands; nulls where the set is empty."""
     rows = rows_per_band(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for begin, texts in grouped(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts)
                 mins = [minima(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(begin, len(texts)),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([set_node(s) if len(s) else None for s in sets], pa.int64()),
-                        pa.array([None if m is None else pack(m) for m in mins], pa.binary()),
-                        pa.array([None if m is None else band_keys(m, rows).view(np.int64) for m in mins], pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "n_shingles", "node", "signature", "bands"],
-                )
+                made = [
+                    pa.array(np.arange(uid, uid + len(texts))),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([set_node(s) if len(s) else None for s in sets], pa.int64()),
+                    pa.array([None if m is None else pack(m) for m in mins], pa.binary()),
+                    pa.array([None if m is None else band_keys(m, rows).view(np.int64) for m in mins], pa.list_(pa.int64())),
+                ]
+                uid += len(texts)
+                part = batch.slice(begin, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names)
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, node long, signature binary, bands array<long>")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+    names = [*base.columns, "uid", "n_shingles", "node", "signature", "bands"]
+    schema = StructType([*base.schema.fields, *StructType.fromDDL("uid long, n_shingles long, node long, signature binary, bands array<long>").fields])
+    return base.mapInArrow(run, schema)
 
 
 def set_node(shingles: np.ndarray) -> int:
@@ -152,12 +163,9 @@ def _similar_signatures(percent: int):
 
 def _confirmed_sets(percent: int):
     def linker(block: pa.RecordBatch):
-        nodes = block.column("member").to_pylist()
         sets: list[np.ndarray] = []
         for _, texts in grouped(block.column("text").to_pylist()):
             sets += shingle_sets(texts)
-        # A row of the same doc_id but another text isn't the class that is meant.
-        sets = [s if len(s) and set_node(s) == n else s[:0] for s, n in zip(sets, nodes)]
         sizes = np.array([len(s) for s in sets], np.int64)
         values, ids = np.unique(np.concatenate(sets), return_inverse=True)
         first = np.cumsum(sizes) - sizes
@@ -182,28 +190,48 @@ def _confirmed_sets(percent: int):
     return linker
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+def classified(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The written :func:`signatures` of all rows, and (node, component_id, keeper) of every class: keeper is the uid of the row that stands for its component."""
     signed = materialize(signatures(docs, percent), "signatures")
-    classes = signed.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max(F.struct("signature", "bands", "n_shingles")).alias("s"))
-    classes = materialize(classes.select("node", "rep", "s.*"), "classes")
+    # Rows without a doc_id come last.
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
+    classes = signed.filter("node is not null").groupBy("node").agg(F.min(first).alias("first"), F.max(F.struct("signature", "bands", "n_shingles")).alias("s"))
+    classes = materialize(classes.select("node", "first", "s.*"), "classes")
     banded = classes.select(F.explode("bands").alias("band"), "node")
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     bucketed = banded.join(shared, "band").join(classes.select("node", "signature"), "node")
     rows = bucketed.select(F.col("band").alias("group_id"), F.col("node").alias("member"), F.lit(1).alias("weight"), "signature")
     clusters = materialize(components(links_within(rows, BUCKET_CHUNK, _similar_signatures(percent))), "clusters")
-    wanted = clusters.join(classes.select("node", "rep", "n_shingles"), "node").select("node", "root", "rep", "n_shingles")
+    wanted = clusters.join(classes.select("node", F.col("first.uid").alias("uid"), "n_shingles"), "node").select("root", "node", "uid", "n_shingles")
     if (n := clusters.count()) and n <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string"))
-    # Classes whose rows have no doc_id at all meet their texts by a null-safe join.
-    members = wanted.join(texts, wanted["rep"].eqNullSafe(texts["rep"])).select(F.col("root").alias("group_id"), F.col("node").alias("member"), F.col("n_shingles").alias("weight"), "text")
+    # One row of each class brings its text.
+    members = signed.select("uid", "text").join(wanted, "uid").select(F.col("root").alias("group_id"), F.col("node").alias("member"), F.col("n_shingles").alias("weight"), "text")
     roots = components(links_within(members, CLUSTER_CHUNK, _confirmed_sets(percent)))
-    labels = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labels.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(labels.join(least, "root").select("node", "component_id"), "components")
+    labels = classes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = labels.groupBy("root").agg(F.min("first").alias("least"))
+    named = labels.join(least, "root").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("keeper"))
+    named = materialize(named, "components")
     discard(clusters)
+    return signed, named
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs``."""
+    signed, named = classified(docs, percent)
     # Documents without words share no class; as nulls of a join they would meet in one task.
     alone = signed.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = signed.filter("node is not null").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def representatives(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their components, and those without words: one row of each group stays."""
+    signed, named = classified(docs, percent)
+    keepers = named.select(F.col("keeper").alias("uid")).distinct()
+    gone = materialize(signed.filter("node is not null").select("uid").join(keepers, "uid", "left_anti"), "gone")
+    # What goes is less than what stays; a shuffle of texts isn't needed while it fits a broadcast.
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    stay = signed.join(gone, "uid", "left_anti")
+    return stay.select(*(F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -17,10 +17,15 @@ of words, which are cut out. Keys are 128 bits of hashes (seed and stretch or
 window). Records of a hot passage are reduced to the earliest of each 300,000
 before they are shuffled; ranks stream through sorted rows and spill.
 
+A document is told by doc and twin: twin is a hash of the text where a doc_id stands
+several times, or where there is none, and 0 for all others, so it takes no room in
+what is shuffled. Texts that differ don't share ranges.
+
 Defined cases: a null text has no words; texts shorter than a window are kept
-whole; texts may have any length; rows that share a doc_id are read as one
-document, whose ranges apply to each of the rows, so repeated rows don't repeat
-each other; a null doc_id comes before all others; an empty table gives no row.
+whole; texts may have any length; rows of one doc_id with the same text are one
+document, and don't repeat each other; those with different texts are documents
+of their own, ordered by a hash of the text, and so are rows without a doc_id, which
+come before all others; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -43,6 +48,8 @@ HELD_RECORDS = 300_000
 _NULL_ID = -(1 << 63)
 _U = np.uint64
 _STRETCH = 0xA0761D6478BD642F
+#: doc_ids that stand several times (8 bytes each) are broadcast up to this many and joined by a shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def seeds(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -84,26 +91,26 @@ def window_hashes(raw: bytes, window: int) -> np.ndarray:
 def _records_of(window: int, anchor: int):
     def reduced(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         """Of every stretch the earliest record goes on; later ones are known to be repeats."""
-        doc, start, count, seed, stretch = (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((start, doc, stretch, seed))
-        doc, start, count, seed, stretch = (x[order] for x in (doc, start, count, seed, stretch))
+        doc, twin, start, count, seed, stretch = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((start, twin, doc, stretch, seed))
+        doc, twin, start, count, seed, stretch = (x[order] for x in (doc, twin, start, count, seed, stretch))
         new = np.concatenate([[True], (seed[1:] != seed[:-1]) | (stretch[1:] != stretch[:-1])])
         group = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (doc != doc[group]) | (start != start[group])
+        later = (doc != doc[group]) | (twin != twin[group]) | (start != start[group])
         keep = new | later
         # Known repeats need no meeting; their own place serves as key and spreads them.
         key = np.where(later, mix(doc.astype(_U) * _U(31) + start.astype(_U)), seed)
-        columns = [key.view(np.int64), stretch.view(np.int64), doc, start.astype(np.int32), count.astype(np.int32), later]
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["seed", "stretch", "doc", "start", "windows", "later"])
+        columns = [key.view(np.int64), stretch.view(np.int64), doc, twin, start.astype(np.int32), count.astype(np.int32), later]
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["seed", "stretch", "doc", "twin", "start", "windows", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for begin, texts in grouped(batch.column(1).to_pylist()):
+            ids, twins = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for begin, texts in grouped(batch.column(2).to_pylist()):
                 owner, start, count, seed, stretch = records(texts, window, anchor)
                 if len(owner):
-                    parts.append((ids[begin + owner], start, count, seed, stretch))
+                    parts.append((ids[begin + owner], twins[begin + owner], start, count, seed, stretch))
                     held += len(owner)
             if held >= HELD_RECORDS:
                 yield reduced(parts)
@@ -119,14 +126,14 @@ def _windows_of(window: int):
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
-                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
-                for doc, text, places in zip(*(part.column(i).to_pylist() for i in range(3))):
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+                for doc, twin, text, places in zip(*(part.column(i).to_pylist() for i in range(4))):
                     found = window_hashes((text or "").encode(), window).view(np.int64)
                     for place in places:
                         here = np.arange(place["start"], min(place["start"] + place["windows"], len(found)))
-                        for column, values in zip(out, (np.full(len(here), place["seed"]), found[here], np.full(len(here), doc), here)):
+                        for column, values in zip(out, (np.full(len(here), place["seed"]), found[here], np.full(len(here), doc), np.full(len(here), twin), here)):
                             column.append(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["seed", "win", "doc", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["seed", "win", "doc", "twin", "start"])
 
     return run
 
@@ -167,39 +174,59 @@ def _cut(window: int, digests: bool):
                     rows.append((doc, len(words), 0 if keep is None else int((~keep).sum()), result))
                 columns = list(zip(*rows))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc", "n_words", "n_removed", "result"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "n_words", "n_removed", "result"])
 
     return run
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with doc and twin, which tell documents apart, behind its columns."""
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    # Negative without a doc_id, so that these come first even where a doc_id is the least of all.
+    nameless, several = hashed.bitwiseOR(F.lit(_NULL_ID)), hashed.bitwiseAND(F.lit(~_NULL_ID))
+    doc_id = F.col("doc_id").cast("long")
+    known = docs.select(doc_id.alias("clashing doc")).filter(F.col("clashing doc").isNotNull())
+    clashing = materialize(known.groupBy("clashing doc").agg(F.count("*").alias("n")).filter("n > 1").select("clashing doc"), "clashing")
+    n = clashing.count()
+    doc, none = F.coalesce(doc_id, F.lit(_NULL_ID)), F.col("doc_id").isNull()
+    if not n:
+        return docs.withColumns({"substring doc": doc, "substring twin": F.when(none, nameless).otherwise(F.lit(0).cast("long"))})
+    if n <= BROADCAST_ROWS:
+        clashing = F.broadcast(clashing)
+    met = docs.withColumn("substring doc", doc).join(clashing, F.col("substring doc") == F.col("clashing doc"), "left")
+    return met.withColumn("substring twin", F.when(none, nameless).when(F.col("clashing doc").isNotNull(), several).otherwise(F.lit(0).cast("long"))).drop("clashing doc")
+
+
 def repeated(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, spans) of documents with repeats; a span is its first window and their number. ``texts``: doc, text."""
-    found = texts.mapInArrow(_records_of(window, anchor), "seed long, stretch long, doc long, start int, windows int, later boolean")
+    """(doc, twin, spans) of documents with repeats; a span is its first window and their number. ``texts``: doc, twin, text."""
+    found = texts.mapInArrow(_records_of(window, anchor), "seed long, stretch long, doc long, twin long, start int, windows int, later boolean")
     met = found.repartition("seed")
     same = Window.partitionBy("seed", "stretch")
     seeded = Window.partitionBy("seed")
-    ranked = met.withColumn("rank", F.rank().over(same.orderBy("doc", "start"))).withColumn("several", F.min("stretch").over(seeded) != F.max("stretch").over(seeded))
+    ranked = met.withColumn("rank", F.rank().over(same.orderBy("doc", "twin", "start"))).withColumn("several", F.min("stretch").over(seeded) != F.max("stretch").over(seeded))
     hits = materialize(
-        ranked.withColumn("repeat", F.col("later") | (F.col("rank") > 1)).filter(F.col("repeat") | F.col("several")).select("seed", "doc", "start", "windows", "repeat"),
+        ranked.withColumn("repeat", F.col("later") | (F.col("rank") > 1)).filter(F.col("repeat") | F.col("several")).select("seed", "doc", "twin", "start", "windows", "repeat"),
         "hits",
     )
-    partial = hits.filter(~F.col("repeat")).groupBy("doc").agg(F.collect_set(F.struct("seed", "start", "windows")).alias("places"))
-    extended = partial.join(texts, "doc").select("doc", "text", "places").mapInArrow(_windows_of(window), "seed long, win long, doc long, start long")
-    first = F.rank().over(Window.partitionBy("seed", "win").orderBy("doc", "start"))
-    single = extended.withColumn("rank", first).filter("rank > 1").select("doc", F.col("start").cast("int"), F.lit(1).alias("windows"))
-    spans = hits.filter("repeat").select("doc", "start", "windows").unionByName(single)
-    return spans.groupBy("doc").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
+    partial = hits.filter(~F.col("repeat")).groupBy("doc", "twin").agg(F.collect_set(F.struct("seed", "start", "windows")).alias("places"))
+    # Rows of one document count once; only those with a twin can be several.
+    distinct = texts.filter("twin = 0").unionByName(texts.filter("twin <> 0").groupBy("doc", "twin").agg(F.first("text").alias("text")))
+    once = distinct.join(partial, ["doc", "twin"]).select("doc", "twin", "text", "places")
+    extended = once.mapInArrow(_windows_of(window), "seed long, win long, doc long, twin long, start long")
+    first = F.rank().over(Window.partitionBy("seed", "win").orderBy("doc", "twin", "start"))
+    single = extended.withColumn("rank", first).filter("rank > 1").select("doc", "twin", F.col("start").cast("int"), F.lit(1).alias("windows"))
+    spans = hits.filter("repeat").select("doc", "twin", "start", "windows").unionByName(single)
+    return spans.groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "windows")).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the text that stays (or, with ``digests``, the SHA-256 of its words joined by one space)."""
     ship(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col("text").cast("string"))
-    spans = repeated(texts, window, anchor)
-    joined = texts.join(spans, "doc", "left").select("doc", "text", "spans")
-    cut = joined.mapInArrow(_cut(window, digests), "doc long, n_words long, n_removed long, result string")
-    doc_id = F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id")
-    return cut.select(doc_id, "n_words", "n_removed", F.col("result").alias("kept_sha256" if digests else "text"))
+    texts = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumnsRenamed({"substring doc": "doc", "substring twin": "twin"})
+    spans = repeated(texts.select("doc", "twin", "text"), window, anchor)
+    joined = texts.join(spans, ["doc", "twin"], "left").select("doc_id", "text", "spans")
+    cut = joined.mapInArrow(_cut(window, digests), "doc_id long, n_words long, n_removed long, result string")
+    return cut.select("doc_id", "n_words", "n_removed", F.col("result").alias("kept_sha256" if digests else "text"))
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -218,7 +245,8 @@ def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
             yield pa.RecordBatch.from_arrays(columns, names)
 
     ship(docs.sparkSession)
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))
-    spans = repeated(docs.select(key.alias("doc"), F.col("text").cast("string")), window, anchor)
-    joined = docs.join(spans, key == spans["doc"], "left").select(*(docs[c] for c in names), spans["spans"].alias("substring spans"))
-    return joined.mapInArrow(run, docs.schema)
+    marked = keyed(docs)
+    texts = marked.select(F.col("substring doc").alias("doc"), F.col("substring twin").alias("twin"), F.col("text").cast("string"))
+    spans = repeated(texts, window, anchor).select(F.col("doc").alias("span doc"), F.col("twin").alias("span twin"), F.col("spans").alias("substring spans"))
+    same = (F.col("substring doc") == F.col("span doc")) & (F.col("substring twin") == F.col("span twin"))
+    return marked.join(spans, same, "left").select(*names, "substring spans").mapInArrow(run, docs.schema)

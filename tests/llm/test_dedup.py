@@ -185,3 +185,71 @@ def test_cleaned_keeps_columns_and_white_space(spark):
     assert got[1].text == rows[0][1] and got[3].text == rows[2][1] and got[4].text is None
     assert got[2].text == "e\t\tf g\n\nh" and (got[2].node, got[2].kept) == (8, "y")
     assert substring.cleaned(spark.createDataFrame(rows, SCHEMA)).columns == ["doc_id", "text", "node", "kept"]
+
+
+def sentence(*numbers):
+    return " ".join(f"v{n}" for n in numbers)
+
+
+A, B, C = (sentence(*range(k, k + 40)) for k in (0, 1000, 2000))
+D, E = sentence(*range(3000, 3040)), sentence(*range(4000, 4040))
+
+
+def removed_per_row(rows, window):
+    """Of every row how many words go; rows of equal doc_id and text are one document, those without a doc_id come first."""
+    keys = sorted({(d is not None, d or 0, t or "") for d, t in rows})
+    # Among texts of one doc_id, and among those without one, the operator's own order counts.
+    out, seen = {}, {}
+    for key in keys:
+        w = WORD.findall(key[2])
+        gone = [False] * len(w)
+        for p in range(len(w) - window + 1):
+            if seen.setdefault(tuple(w[p : p + window]), (key, p)) != (key, p):
+                gone[p : p + window] = [True] * window
+        out[key] = sum(gone)
+    return out
+
+
+@pytest.mark.parametrize("rows", [[(1, A), (5, A), (5, B)], [(1, A), (5, A), (5, B), (5, A)], [(None, C), (2, C), (None, D), (None, D)], [(-(1 << 63), A), (None, A), (None, E)], [(3, A)] * 3 + [(4, A + " " + B)], [(None, None), (None, ""), (None, B), (0, B)]])
+def test_texts_under_one_id_keep_their_own_words(spark, rows):
+    df = spark.createDataFrame([(d, t, 1, "n") for d, t in rows], SCHEMA).repartition(3)
+    want = removed_per_row(rows, 20)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring.deduplicate(df, digests=True).collect()), key=repr)
+    assert got == sorted(((d, len((t or "").split()), want[d is not None, d or 0, t or ""]) for d, t in rows), key=repr)
+    kept = sorted(((r.doc_id, len((r.text or "").split())) for r in substring.cleaned(df).collect()), key=repr)
+    assert kept == sorted(((d, n - gone) for d, n, gone in got), key=repr)
+
+
+def test_unique_texts_without_ids_lose_nothing(spark):
+    rows = [(None, C, 1, "n"), (None, A + " " + A, 1, "n"), (None, D + " " + B, 1, "n"), (7, E, 1, "n"), (7, D, 1, "n")]
+    got = sorted((r.n_words, r.n_removed) for r in substring.deduplicate(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect())
+    assert got == [(40, 0), (40, 0), (40, 40), (80, 0), (80, 40)]
+
+
+@pytest.mark.parametrize("limit", [400_000, 0])
+@pytest.mark.parametrize(
+    "rows,want",
+    [
+        ([(3, A), (7, A), (7, B)], [(3, A), (7, B)]),
+        ([(3, A)] * 3, [(3, A)]),
+        ([(3, A), (None, A), (None, A), (None, B), (None, B)], [(3, A), (None, B)]),
+        ([(None, ""), (None, None), (4, " "), (4, " ")], [(None, ""), (None, None), (4, " "), (4, " ")]),
+        ([(9, A + " x"), (8, A), (2, A + " y")], [(2, A + " y")]),
+    ],
+)
+def test_one_row_stands_for_a_component(spark, monkeypatch, rows, want, limit):
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", limit)
+    df = spark.createDataFrame([(d, t, n, "x") for n, (d, t) in enumerate(rows)], SCHEMA).repartition(2)
+    got = minhash.representatives(df, 80)
+    assert got.columns == df.columns and got.dtypes == df.dtypes
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    whole = {tuple(r) for r in df.collect()}
+    assert {tuple(r) for r in got.collect()} <= whole
+
+
+def test_rows_without_an_id_meet_their_own_texts(spark):
+    """Copies without a doc_id are one class with one text, however many they are."""
+    rows = [(None, f"{A} {n}", 1, "n") for n in range(30) for _ in range(3)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), 80).collect()
+    assert len(got) == 90 and all(r.kept and r.component_id is None for r in got)
+    assert minhash.representatives(spark.createDataFrame(rows, SCHEMA), 80).count() == 1
