@@ -19,9 +19,6 @@ from loamline.session import fresh_path, materialize, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
-#: Dropped doc_ids (8 bytes each) are broadcast up to this many and joined by a shuffle beyond.
-BROADCAST_ROWS = 1_000_000
-
 #: Near duplicates share at least this percentage of their 5-word shingles.
 NEAR_PERCENT = 80
 
@@ -39,13 +36,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    # What goes is less than what stays; a shuffle of texts isn't needed while it fits a broadcast.
-    gone = minhash.near_duplicates(docs, NEAR_PERCENT).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    gone = materialize(gone, "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: the first of those with the smallest doc_id.
+
+    Rows count, not doc_ids: another text under a doc_id stays, repeated rows and
+    copies without a doc_id go. Rows without words stay.
+    """
+    return minhash.representatives(docs, NEAR_PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
