@@ -69,9 +69,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loamline.llm.chat import format_preferences, pairs_from_conversations
+    from loamline.llm.chat import learned, preferences_of_conversations
 
-    return format_preferences(*pairs_from_conversations(table(spark, sf_dir, "conversations")), distinct=True)
+    found = preferences_of_conversations(table(spark, sf_dir, "conversations"))
+    return found.select("pair_id", "part", "prompt", "chosen", learned(F.col("chosen_mask")).alias("chosen_learn"), "rejected", learned(F.col("rejected_mask")).alias("rejected_learn"))
 
 
 def op10_permindex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +178,16 @@ rows AS (
   SELECT pair_id, 'prompt' AS section, turn, good AS s FROM placed WHERE prompt
   UNION ALL SELECT pair_id, 'chosen', turn, good FROM placed WHERE NOT prompt AND good IS NOT NULL
   UNION ALL SELECT pair_id, 'rejected', turn, bad FROM placed WHERE NOT prompt AND bad IS NOT NULL
-)
-SELECT pair_id, section, turn, concat('<|', s.role, '|>', chr(10), s.text, '<|end|>', chr(10)) AS rendered, section <> 'prompt' AND s.role = 'assistant' AS learn FROM rows
+),
+texts AS (SELECT pair_id, CAST(floor(turn / 1024) AS BIGINT) AS part, section, turn, s.role AS role, concat('<|', s.role, '|>', chr(10), s.text, '<|end|>', chr(10)) AS t FROM rows)
+SELECT pair_id, part,
+  coalesce(string_agg(t, '' ORDER BY turn) FILTER (section = 'prompt'), '') AS prompt,
+  coalesce(string_agg(t, '' ORDER BY turn) FILTER (section = 'chosen'), '') AS chosen,
+  coalesce(list([CAST(upto - length(t) AS INTEGER), CAST(upto AS INTEGER)] ORDER BY turn) FILTER (section = 'chosen' AND role = 'assistant'), []) AS chosen_learn,
+  coalesce(string_agg(t, '' ORDER BY turn) FILTER (section = 'rejected'), '') AS rejected,
+  coalesce(list([CAST(upto - length(t) AS INTEGER), CAST(upto AS INTEGER)] ORDER BY turn) FILTER (section = 'rejected' AND role = 'assistant'), []) AS rejected_learn
+FROM (SELECT *, sum(length(t)) OVER (PARTITION BY pair_id, part, section ORDER BY turn) AS upto FROM texts)
+GROUP BY 1, 2
 """
 
 SQL: dict[str, str] = {

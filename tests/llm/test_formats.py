@@ -91,3 +91,29 @@ def test_preferences_without_python(spark):
 def test_no_conversations(spark):
     none = spark.createDataFrame([], TURNS)
     assert chat.format_preferences(none, none).count() == 0 and chat.assemble(chat.format_preferences(none, none)).count() == 0
+
+
+def test_long_conversations_are_parts(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PART_TURNS", 4)
+    rows = [(0, n, "user" if n % 2 == 0 else "assistant", f"t{n}é") for n in range(10)] + [(1, n, "user" if n % 2 == 0 else "assistant", f"u{n}") for n in range(2)]
+    rows += [rows[3], (0, 3, "assistant", "t3é later"), (None, 1, "user", "x"), (0, None, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(3)
+    found = chat.preferences_of_conversations(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+    parts = {(r.pair_id, r.part): r for r in found.collect()}
+    turn = lambda n, x: f"<|{'user' if n % 2 == 0 else 'assistant'}|>\n{x}<|end|>\n"
+    assert sorted(parts) == [(0, 0), (0, 1), (0, 2), (1, 0)]
+    assert "".join(parts[0, p].prompt for p in range(3)) == "".join(turn(n, f"t{n}é") for n in range(9))
+    last = parts[0, 2]
+    assert (last.chosen, last.rejected) == (turn(9, "t9é"), turn(9, "u1"))
+    assert [last.chosen[m.start : m.end] for m in last.chosen_mask if m.learn] == [last.chosen]
+    assert parts[1, 0].prompt == turn(0, "u0") and parts[1, 0].rejected == turn(1, "t9é")
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_only_repeated_turns_are_aggregated(spark, monkeypatch, limit):
+    monkeypatch.setattr(chat, "BROADCAST_ROWS", limit)
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "z", "a"), (1, 1, None, None), (2, 0, "user", "c"), (2, 0, "user", "c")]
+    got = chat.turns(spark.createDataFrame(rows, "pair_id long, turn int, role string, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "user", "a"), (1, 1, "", ""), (2, 0, "user", "c")]
