@@ -123,11 +123,19 @@ def _records_of(window: int, anchor: int):
 
 def _windows_of(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Equal rows of one document say the same; of those that follow closely one is enough.
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
                 for doc, twin, text, places in zip(*(part.column(i).to_pylist() for i in range(4))):
+                    if twin:
+                        if (doc, twin) in met:
+                            continue
+                        if len(met) > 10_000:
+                            met.clear()
+                        met.add((doc, twin))
                     found = window_hashes((text or "").encode(), window).view(np.int64)
                     for place in places:
                         here = np.arange(place["start"], min(place["start"] + place["windows"], len(found)))
@@ -163,7 +171,7 @@ def _cut(window: int, digests: bool):
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 rows = []
-                for doc, text, spans in zip(*(part.column(i).to_pylist() for i in range(3))):
+                for doc, twin, text, spans in zip(*(part.column(i).to_pylist() for i in range(4))):
                     raw = (text or "").encode()
                     words, keep = kept_words(raw, [(s["start"], s["windows"]) for s in spans or []], window)
                     if digests:
@@ -171,10 +179,10 @@ def _cut(window: int, digests: bool):
                         result = hashlib.sha256(joined).hexdigest()
                     else:
                         result = text if keep is None else without(raw, keep)
-                    rows.append((doc, len(words), 0 if keep is None else int((~keep).sum()), result))
+                    rows.append((doc, twin, len(words), 0 if keep is None else int((~keep).sum()), result))
                 columns = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "n_words", "n_removed", "result"])
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc", "twin", "n_words", "n_removed", "result"])
 
     return run
 
@@ -209,10 +217,9 @@ def repeated(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
         "hits",
     )
     partial = hits.filter(~F.col("repeat")).groupBy("doc", "twin").agg(F.collect_set(F.struct("seed", "start", "windows")).alias("places"))
-    # Rows of one document count once; only those with a twin can be several.
-    distinct = texts.filter("twin = 0").unionByName(texts.filter("twin <> 0").groupBy("doc", "twin").agg(F.first("text").alias("text")))
-    once = distinct.join(partial, ["doc", "twin"]).select("doc", "twin", "text", "places")
-    extended = once.mapInArrow(_windows_of(window), "seed long, win long, doc long, twin long, start long")
+    # The same exchange of texts as that of the last join.
+    placed = texts.join(partial, ["doc", "twin"]).select("doc", "twin", "text", "places")
+    extended = placed.mapInArrow(_windows_of(window), "seed long, win long, doc long, twin long, start long")
     first = F.rank().over(Window.partitionBy("seed", "win").orderBy("doc", "twin", "start"))
     single = extended.withColumn("rank", first).filter("rank > 1").select("doc", "twin", F.col("start").cast("int"), F.lit(1).alias("windows"))
     spans = hits.filter("repeat").select("doc", "twin", "start", "windows").unionByName(single)
@@ -222,11 +229,14 @@ def repeated(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Da
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the text that stays (or, with ``digests``, the SHA-256 of its words joined by one space)."""
     ship(docs.sparkSession)
-    texts = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumnsRenamed({"substring doc": "doc", "substring twin": "twin"})
-    spans = repeated(texts.select("doc", "twin", "text"), window, anchor)
-    joined = texts.join(spans, ["doc", "twin"], "left").select("doc_id", "text", "spans")
-    cut = joined.mapInArrow(_cut(window, digests), "doc_id long, n_words long, n_removed long, result string")
-    return cut.select("doc_id", "n_words", "n_removed", F.col("result").alias("kept_sha256" if digests else "text"))
+    texts = keyed(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    texts = texts.select(F.col("substring doc").alias("doc"), F.col("substring twin").alias("twin"), "text")
+    spans = repeated(texts, window, anchor)
+    joined = texts.join(spans, ["doc", "twin"], "left").select("doc", "twin", "text", "spans")
+    cut = joined.mapInArrow(_cut(window, digests), "doc long, twin long, n_words long, n_removed long, result string")
+    # Only rows without a doc_id have a negative twin.
+    doc_id = F.when(F.col("twin") >= 0, F.col("doc")).alias("doc_id")
+    return cut.select(doc_id, "n_words", "n_removed", F.col("result").alias("kept_sha256" if digests else "text"))
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
