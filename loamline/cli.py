@@ -15,21 +15,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-v", "--verbose", action="count", default=0)
     p.add_argument("-o", "--output", help="write here instead of to standard output")
     p.add_argument("--parquet", help="also write the flat nodes to this folder")
-    p.add_argument("--name")
+    p.add_argument("-n", "--name")
     p.add_argument("--id")
     p.add_argument("--years", type=int, default=3, help="how many years of history to read")
     p.add_argument("--no-git", action="store_true")
     p.add_argument("--no-detailed-git", action="store_true")
     p.add_argument("--no-file-stats", action="store_true")
     p.add_argument("--follow-symlinks", action="store_true")
-    p.add_argument("--coupling", action="store_true")
-    p.add_argument("--bucket-days", type=int, default=91)
-    p.add_argument("--min-bursts", type=int, default=10)
-    p.add_argument("--min-ratio", type=float, default=0.8)
-    p.add_argument("--gap-minutes", type=int, default=60)
-    p.add_argument("--overlap-minutes", type=int, default=60)
-    p.add_argument("--min-distance", type=int, default=3)
-    p.add_argument("--max-common-roots", type=int)
+    p.add_argument("-c", "--coupling", action="store_true")
+    p.add_argument("--bucket-days", "--coupling-bucket-days", type=int, default=91)
+    p.add_argument("--min-bursts", "--coupling-min-bursts", type=int, default=10)
+    p.add_argument("--min-ratio", "--coupling-min-ratio", type=float, default=0.8)
+    p.add_argument("--gap-minutes", "--coupling-min-activity-gap-minutes", type=int, default=60)
+    p.add_argument("--overlap-minutes", "--coupling-time-overlap-minutes", type=int, default=60)
+    p.add_argument("--min-distance", "--coupling-min-distance", type=int, default=3)
+    p.add_argument("--max-common-roots", "--coupling-max-common-roots", type=int)
     return p
 
 
@@ -56,19 +56,20 @@ def main(argv: list[str] | None = None) -> int:
     except ValueError as error:
         print(error, file=sys.stderr)
         return 2
-    from loamline.plans.scan import scan, scan_document
+    from loamline.plans.scan import documented, scan
     from loamline.session import local_session
     from loamline.sinks.document import write, write_flat
 
     spark = local_session()
-    found = scan_document(spark, wanted)
+    scanned = scan(spark, wanted)
+    found = documented(wanted, scanned)
     if args.output:
         with open(args.output, "w", encoding="utf-8") as out:
             write(found, out)
     else:
         write(found, sys.stdout)
     if args.parquet:
-        write_flat(scan(spark, wanted)[0], args.parquet)
+        write_flat(scanned[0], args.parquet)
     return 0
 
 

@@ -32,7 +32,9 @@ class CouplingConfig:
         return self.bucket_days * DAY
 
     def metadata(self) -> dict:
-        return asdict(self)
+        """The parameters in the document's names."""
+        names = {"min_ratio": "min_coupling_ratio", "gap": "min_activity_gap", "overlap": "coupling_time_distance"}
+        return {names.get(k, k): v for k, v in asdict(self).items()}
 
 
 @dataclass(frozen=True)

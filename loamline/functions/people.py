@@ -42,6 +42,12 @@ def summary(message: Column) -> Column:
     return F.coalesce(trimmed(F.split(trimmed(message), "\n")[0]), F.lit("[no message]"))
 
 
+def first_paragraph(message: Column) -> Column:
+    """The first paragraph of a message as one line: white space that holds a line feed becomes a space."""
+    paragraph = F.regexp_extract(trimmed(message), r"(?s)\A(.*?)(?:\n[ \t\r\f\x0b]*(?:\n.*)?)?\z", 1)
+    return F.coalesce(trimmed(F.regexp_replace(paragraph, r"[ \t\r\f\x0b]*\n\s*", " ")), F.lit("[no message]"))
+
+
 def people_of_change(author: Column, committer: Column, others: Column) -> Column:
     """Everyone who had a part in a change, in order (a missing name first), each once."""
     everyone = F.concat(F.coalesce(others, F.array().cast(f"array<{USER}>")), F.array(author, committer))

@@ -15,12 +15,28 @@ def _starts(content: Column, mark: str) -> Column:
     return F.hex(F.substring(content, 1, len(mark) // 2)) == mark
 
 
+def wide(content: Column, charset: str) -> Column:
+    """Text of UTF-16 bytes: a surrogate without its partner and a single last byte become replacement characters."""
+    digits = F.hex(content)
+    first = "^..D" if charset == "UTF-16LE" else "^D"
+    high, low = (lambda u, set=set: F.coalesce(u.rlike(first + set), F.lit(False)) for set in ("[89AB]", "[C-F]"))
+    wrong = F.lit("FDFF" if charset == "UTF-16LE" else "FFFD")
+    units = F.regexp_extract_all(digits, F.lit("(....)"), 1)
+
+    def paired(u: Column, i: Column) -> Column:
+        good = F.when(high(u), low(F.get(units, i + 1))).when(low(u), high(F.get(units, i - 1))).otherwise(F.lit(True))
+        return F.when(good, u).otherwise(wrong)
+
+    whole = F.concat(F.array_join(F.transform(units, paired), ""), F.when(F.length(digits) % 4 != 0, wrong).otherwise(F.lit("")))
+    return F.decode(F.unhex(whole), charset)
+
+
 def decoded(content: Column) -> Column:
-    """Text of bytes by their mark, UTF-8 without one; invalid bytes become replacement characters."""
+    """Text of bytes by their mark, UTF-8 without one; invalid bytes become replacement characters, so no content is an error."""
     text = F.make_valid_utf8(content.cast("string"))
     for mark, charset in _MARKS.items():
         rest = F.substring(content, len(mark) // 2 + 1, 2**31 - 1)
-        by_mark = F.make_valid_utf8(rest.cast("string")) if charset == "UTF-8" else F.decode(rest, charset)
+        by_mark = F.make_valid_utf8(rest.cast("string")) if charset == "UTF-8" else wide(rest, charset)
         text = F.when(_starts(content, mark), by_mark).otherwise(text)
     return text
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamline.config import DAY
-from loamline.functions.people import co_authors, summary
+from loamline.functions.people import co_authors, first_paragraph
 
 KINDS = {"A": "Add", "R": "Rename", "D": "Delete", "M": "Modify", "C": "Copied"}
 
@@ -21,7 +21,7 @@ def earliest(now: int, years: int) -> int:
 
 def summarised(log: DataFrame) -> DataFrame:
     """Adds summary and co_authors from the message."""
-    return log.withColumn("summary", summary(F.col("message"))).withColumn("co_authors", co_authors(F.col("message")))
+    return log.withColumn("summary", first_paragraph(F.col("message"))).withColumn("co_authors", co_authors(F.col("message")))
 
 
 def until_horizon(log: DataFrame, since: int, repo: str = "repo", order: str = "ord", time: str = "commit_time") -> DataFrame:

@@ -68,7 +68,9 @@ def couple(changes: DataFrame, config: CouplingConfig) -> tuple[DataFrame, DataF
     numbered = changes.select(F.xxhash64("file").alias("file_id"), "t")
     found = bucketed_bursts(numbered, config.gap, config.bucket_size, "file_id")
     active = found.groupBy("file_id", "bucket_start").agg(F.count("*").alias("activity_bursts")).filter(F.col("activity_bursts") >= config.min_bursts)
-    pairs = partners(numbered, found, config.overlap, "file_id").join(active, ["file_id", "bucket_start"])
+    # Bursts of files that are too quiet for a bucket need no partners.
+    lively = found.join(active.select("file_id", "bucket_start"), ["file_id", "bucket_start"], "left_semi")
+    pairs = partners(numbered, lively, config.overlap, "file_id").join(active, ["file_id", "bucket_start"])
     pairs = pairs.filter(F.col("together").cast("double") / F.col("activity_bursts") >= config.min_ratio)
     # Each pair of files is judged once, after counting, not in every burst.
     near = pairs.join(names, "file_id").join(names.select(F.col("file_id").alias("other"), F.col("file").alias("other_file")), "other")

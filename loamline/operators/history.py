@@ -50,8 +50,8 @@ def details(history: DataFrame, key: str = "file") -> DataFrame:
 
 
 def nested_details(history: DataFrame, key: str = "file") -> DataFrame:
-    """:func:`details` as one sorted array per file."""
-    return details(history, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day", "users", "commits", "lines_added", "lines_deleted"))).alias("details"))
+    """:func:`details` as one sorted array per file, in the document's names."""
+    return details(history, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("day").alias("commit_day"), "users", "commits", "lines_added", "lines_deleted"))).alias("details"))
 
 
 def repository_of(files: DataFrame, repositories: DataFrame, nearest: bool = False) -> DataFrame:

@@ -463,6 +463,79 @@ def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", text.is_binary(content).alias("is_binary"))
 
 
+@query(
+    "first_paragraph",
+    r"""WITH m AS (SELECT doc_id, concat(chr(10), ' ', doc_id, ' one', chr(10), '  two ', CASE WHEN doc_id % 3 = 0 THEN concat(chr(9), chr(10), ' ', chr(10)) ELSE chr(10) END, 'three', chr(10), chr(10), 'rest') AS t FROM documents)
+SELECT doc_id, concat(doc_id, ' one two', CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' three' END) AS summary FROM m""",
+)
+def first_paragraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    middle = F.when(F.col("doc_id") % 3 == 0, "\t\n \n").otherwise("\n")
+    message = F.concat(F.lit("\n "), F.col("doc_id").cast("string"), F.lit(" one\n  two "), middle, F.lit("three\n\nrest"))
+    return d.select("doc_id", people.first_paragraph(message).alias("summary"))
+
+
+@query(
+    "decoded_wide",
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN concat(text, chr(65533)) ELSE concat(chr(65533), 'a', text) END AS text FROM documents""",
+)
+def decoded_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide texts of either byte order, whole, with a single last byte, and with a surrogate alone."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 4
+    raw = lambda x: F.lit(bytearray(x))
+    big, little = F.encode("text", "UTF-16BE"), F.encode("text", "UTF-16LE")
+    content = (
+        F.when(k == 0, F.concat(raw(b"\xfe\xff"), big)).when(k == 1, F.concat(raw(b"\xff\xfe"), little))
+        .when(k == 2, F.concat(raw(b"\xff\xfe"), little, raw(b"a"))).otherwise(F.concat(raw(b"\xfe\xff\xd8\x01\x00a"), big))
+    )
+    return d.select("doc_id", text.decoded(content).alias("text"))
+
+
+@query(
+    "changes_of_code",
+    """WITH h AS (SELECT concat('u', user_id % 50) AS file, epoch_us(ts) // 1000000 AS t, event_id % 3 AS added, event_id % 2 AS deleted FROM events),
+loc AS (SELECT DISTINCT file, CAST(substr(file, 2) AS BIGINT) % 4 AS code FROM h)
+SELECT DISTINCT h.file, h.t FROM h JOIN loc USING (file) WHERE loc.code > 0 AND (h.added > 0 OR h.deleted > 0)""",
+)
+def changes_of_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes with changed lines, of files with code."""
+    e = table(spark, sf_dir, "events")
+    h = e.select(
+        F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("file"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"),
+        (F.col("event_id") % 3).alias("added"), (F.col("event_id") % 2).alias("deleted"),
+    )
+    loc = h.select("file").distinct().withColumn("code", F.substring("file", 2, 9).cast("long") % 4)
+    return coupling.extract_changes(loc, h)
+
+
+@query(
+    "loc_binary",
+    """SELECT doc_id AS path, doc_id % 3 = 0 AS "binary", CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 2 END AS "lines", CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS comments,
+  CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 1 END AS blanks, CAST(0 AS BIGINT) AS code, CAST(6 AS BIGINT) AS bytes FROM documents""",
+)
+def loc_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary files count nothing but their bytes."""
+    d = table(spark, sf_dir, "documents")
+    content = F.when(F.col("doc_id") % 3 == 0, F.lit(bytearray(b"ab\0\n\nc"))).otherwise(F.lit(bytearray(b"abcd\n\n")))
+    files = d.select(F.col("doc_id").alias("path"), F.lit("file.unknown").alias("name"), content.alias("content"), F.length(content).alias("length"))
+    return indicators.loc(files).select("path", *(f"loc.{c}" for c in ("binary", "lines", "comments", "blanks", "code", "bytes")))
+
+
+@query(
+    "code_lines",
+    """WITH d AS (SELECT doc_id, unnest(range(0, 3)) AS i FROM documents)
+SELECT doc_id AS path, CAST(i AS INTEGER) AS line_no, CAST(CASE WHEN i = 1 THEN doc_id % 5 ELSE 0 END AS INTEGER) AS spaces,
+  CAST(CASE WHEN i = 2 THEN 1 ELSE 0 END AS INTEGER) AS tabs, CAST(CASE i WHEN 0 THEN 5 WHEN 1 THEN 1 ELSE 6 END AS INTEGER) AS text FROM d""",
+)
+def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a file of code without its comments, numbered as they are left."""
+    d = table(spark, sf_dir, "documents")
+    body = F.concat(F.lit("x = 1\n# no\n"), F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int")), F.lit("y\n# no\n\tz = 22\n  # no\n"))
+    files = d.select(F.col("doc_id").alias("path"), F.lit("file.py").alias("name"), F.encode(body, "UTF-8").alias("content"), F.octet_length(body).alias("length"))
+    return indicators.code_lines(files)
+
+
 @query("decoded", "SELECT doc_id, concat(text, chr(65533), '!') AS text FROM documents")
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

@@ -98,7 +98,7 @@ class Git:
         context.frames["history"] = changed
         summary = history.activity(changed.drop("file").withColumnRenamed("path", "file"), history.last_commits(log))
         days = history.nested_details(changed.drop("file").withColumnRenamed("path", "file")).withColumnRenamed("file", "path")
-        empty = F.array().cast("array<struct<day:bigint,users:array<bigint>,commits:bigint,lines_added:bigint,lines_deleted:bigint>>")
+        empty = F.array().cast("array<struct<commit_day:bigint,users:array<bigint>,commits:bigint,lines_added:bigint,lines_deleted:bigint>>")
         shown = F.col("details") if config.git_details else empty
         of_files = summary.withColumnRenamed("file", "path").join(days, "path").select(
             "path",

@@ -46,15 +46,18 @@ def scan(spark: SparkSession, config: ScanConfig, now: int | None = None) -> tup
             out = out.join(found.select(F.col("file").alias("path"), F.struct("buckets").alias("coupling")), "path", "left")
             names.append("coupling")
             one = coupling.layout(changes, config.coupling.bucket_size).first()
-            metadata["coupling"] = config.coupling.metadata() | {"buckets": {"bucket_count": one.buckets, "bucket_size": config.coupling.bucket_size, "first_bucket_start": one.first_start}}
+            metadata["coupling"] = {"config": config.coupling.metadata(), "buckets": {"bucket_count": one.buckets, "bucket_size": config.coupling.bucket_size, "first_bucket_start": one.first_start}}
     return out, names, context, metadata
 
 
-
-
 def scan_document(spark: SparkSession, config: ScanConfig, now: int | None = None) -> dict:
     """The nested document of a scan."""
-    nodes, names, context, metadata = scan(spark, config, now)
+    return documented(config, scan(spark, config, now))
+
+
+def documented(config: ScanConfig, scanned: tuple[DataFrame, list[str], Context, dict]) -> dict:
+    """The nested document of what :func:`scan` has found."""
+    nodes, names, context, metadata = scanned
     features = {"git": config.git, "coupling": config.coupling is not None, "git_details": config.git_details, "file_stats": config.file_stats}
     found = document(nodes, names, config.name or os.path.basename(context.config.root), config.id, plain(metadata), features)
     _merge_git(found["tree"])

@@ -56,11 +56,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one if the session runs on this machine alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext.getCheckpointDir()
         if not current:
+            master = spark.sparkContext.master
+            if not master.startswith("local"):
+                raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loamline-shared-"))
             current = spark.sparkContext.getCheckpointDir()
         found = current

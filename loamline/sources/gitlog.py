@@ -7,6 +7,7 @@ differ from each parent. One repository is one partition, streamed from git.
 from __future__ import annotations
 
 import subprocess
+import tempfile
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -80,9 +81,12 @@ def file_changes(text: str) -> list[tuple]:
 
 
 def commits(repo: str) -> Iterator[tuple]:
-    """Rows of the schema; a merge's diffs against its parents follow one another in one row."""
+    """Rows of the schema; a merge's diffs against its parents follow one another in one row.
+
+    A walk that git can't begin or can't finish is an error: no part of a history passes for the whole.
+    """
     command = ["git", "-c", "safe.directory=*", "-c", "core.quotepath=off", "-C", repo, "log", "--topo-order", "-m", "--raw", "--numstat", "-M", "-z", f"--format={_FORMAT}"]
-    with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
+    with tempfile.TemporaryFile() as said, subprocess.Popen(command, stdout=subprocess.PIPE, stderr=said) as run:
         held, current, order = b"", None, 0
 
         def one(block: bytes) -> tuple[list[str], list[tuple]]:
@@ -113,6 +117,9 @@ def commits(repo: str) -> Iterator[tuple]:
                     yield from take(block)
         if held.strip(b"\0\n"):
             yield from take(held)
+        if code := run.wait():
+            said.seek(0)
+            raise ValueError(f"the log of {repo} ended with code {code}: {said.read().decode(errors='replace').strip()}")
         if current:
             yield row(current, order)
 

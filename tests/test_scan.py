@@ -176,3 +176,120 @@ def test_command_line(spark, repo, tmp_path):
     assert found["features"] == {"git": True, "coupling": False, "git_details": False, "file_stats": True}
     assert spark.read.parquet(str(tmp_path / "flat")).count() == 6
     assert cli.main(["--no-git", "--coupling"]) == 2 and cli.main(["--no-git", "--no-detailed-git"]) == 2
+
+
+@pytest.fixture(scope="module")
+def six_commits(tmp_path_factory):
+    """A file that is changed on two branches, merged and renamed, beside one that is changed on one of them."""
+    r = Repo(tmp_path_factory.mktemp("six"))
+    r.times = iter([1558521386, 1558521648, 1558521550, 1558521695, 1558524371, 1558533240])
+
+    def git(*args):
+        date = f"{r.clock} +0100"
+        env = os.environ | {"GIT_AUTHOR_DATE": date, "GIT_COMMITTER_DATE": date, "GIT_CONFIG_GLOBAL": "/dev/null"}
+        who = ["-c", "user.name=Ann Ex", "-c", "user.email=ann@x.org", "-c", "commit.gpgsign=false"]
+        return subprocess.run(["git", *who, "-C", str(r.path), *args], env=env, check=True, capture_output=True, text=True).stdout.strip()
+
+    def commit(message):
+        r.clock = next(r.times)
+        git("add", "-A")
+        git("commit", "-q", "-m", message)
+
+    a, clj = "s/child/a.txt", "s/parent.clj"
+    r.write(a, "p\nq\n")
+    r.write(clj, "(a)\n(b)\n(c)\n(d)\n")
+    commit("begin")
+    git("branch", "side")
+    r.write(a, "other\n")
+    commit("less")
+    git("checkout", "-q", "side")
+    r.write(a, "P\nq\n")
+    r.write(clj, "(a)\n(b)\n(c)\n(e)\n(f)\n(g)\n")
+    commit("more\nof it\n\nWhy.\n\nCo-authored-by: Bo <bo@y.org>")
+    git("checkout", "-q", "main")
+    r.clock = next(r.times)
+    subprocess.run(["git", "-C", str(r.path), "-c", "user.name=x", "-c", "user.email=x", "merge", "-q", "--no-ff", "--no-commit", "side"], capture_output=True)
+    r.write(a, "P\nq\nnew\n")
+    git("add", "-A")
+    git("commit", "-q", "-m", "both")
+    r.write(clj, "(a)\n(b)\n(c)\n(e)\n(f)\n(g)\n(h)\n")
+    commit("one line")
+    git("mv", a, "s/child/b.txt")
+    commit("another name")
+    r.head = git("rev-parse", "HEAD")
+    return r
+
+
+@pytest.mark.parametrize("shown", [True, False])
+def test_whole_document_of_six_commits(spark, six_commits, shown):
+    config = ScanConfig(str(six_commits.path), name="test", id="7", git_details=shown, file_stats=False, calculators=("git",))
+    found = json.loads(json.dumps(scan_document(spark, config, now=1558533240)))
+
+    def node(updated, *days):
+        rows = [dict(zip(("commit_day", "users", "commits", "lines_added", "lines_deleted"), (1558483200, *d))) for d in days]
+        data = dict(age_in_days=0, creation_date=1558521386, last_update=updated, user_count=2, users=[0, 1], activity=[], details=rows if shown else [])
+        return {"git": data}
+
+    child = {"name": "child", "children": [{"name": "b.txt", "data": node(1558533240, ([0], 5, 7, 3), ([0, 1], 1, 1, 1))}]}
+    clj = {"name": "parent.clj", "data": node(1558524371, ([0], 3, 8, 1), ([0, 1], 1, 3, 1))}
+    root = {"name": "<root>", "data": {"git": {"remote_url": None, "head": six_commits.head}}, "children": [{"name": "s", "children": [child, clj]}]}
+    people = [{"id": i, "user": {"name": n, "email": e}} for i, (n, e) in enumerate([("Ann Ex", "ann@x.org"), ("Bo", "bo@y.org")])]
+    features = dict(git=True, coupling=False, git_details=shown, file_stats=False)
+    assert found == {"version": "1.0.4", "name": "test", "id": "7", "tree": root, "metadata": {"git": {"users": people}}, "features": features}
+
+
+def test_log_of_six_commits(spark, six_commits):
+    register_sources(spark)
+    rows = commits.summarised(spark.read.format("git_log").load(str(six_commits.path))).orderBy("ord").collect()
+    found = sorted((r.commit_time - 1558521386, r.summary, len(r.file_changes)) for r in rows)
+    assert found == [(0, "begin", 2), (164, "more of it", 2), (262, "less", 1), (309, "both", 3), (2985, "one line", 1), (11854, "another name", 1)]
+    assert [tuple(c)[2:] for c in rows[2].file_changes] == [("Modify", 3, 1), ("Modify", 3, 1), ("Modify", 1, 0)]
+
+
+def test_whole_document_of_lines(spark, tmp_path):
+    (tmp_path / "child").mkdir()
+    (tmp_path / "child" / "a.txt").write_text("some text\nand more.")
+    (tmp_path / "b.clj").write_text("(ns b)\n\n(def x\n  1)")
+    found = scan_document(spark, ScanConfig(str(tmp_path), name="t", id="7", git=False, git_details=False, file_stats=False, calculators=("loc",)))
+
+    def loc(language, blanks, code, comments, size):
+        return {"loc": dict(language=language, binary=False, blanks=blanks, code=code, comments=comments, lines=blanks + code + comments, bytes=size)}
+
+    tree = {"name": "<root>", "children": [{"name": "b.clj", "data": loc("Clojure", 1, 3, 0, 19)}, {"name": "child", "children": [{"name": "a.txt", "data": loc("Plain Text", 0, 0, 2, 19)}]}]}
+    assert found["tree"] == tree and found["metadata"] == {} and not any(found["features"].values())
+
+
+def test_coupling_metadata(spark, repo):
+    config = CouplingConfig(1, 1, 0.1, 10, 600, 0)
+    found = scan_document(spark, ScanConfig(str(repo.path), name="t", coupling=config), now=START + 86_400)["metadata"]["coupling"]
+    assert set(found) == {"buckets", "config"}
+    assert found["config"] == dict(bucket_days=1, min_bursts=1, min_coupling_ratio=0.1, min_activity_gap=10, coupling_time_distance=600, min_distance=0, max_common_roots=None)
+
+
+def test_a_broken_history_is_an_error(tmp_path):
+    r = Repo(tmp_path / "r")
+    with pytest.raises(ValueError, match="does not have any commits"):
+        list(gitlog.commits(str(r.path)))
+    r.write("a.txt", "1\n")
+    first = r.commit("one")
+    r.write("a.txt", "2\n")
+    r.commit("two")
+    assert len(list(gitlog.commits(str(r.path)))) == 2
+    (r.path / ".git" / "objects" / first[:2] / first[2:]).unlink()
+    with pytest.raises(ValueError, match="ended with code"):
+        list(gitlog.commits(str(r.path)))
+
+
+def test_option_names():
+    a = cli.parser().parse_args(["-n", "x", "-c", "--coupling-bucket-days", "5", "--coupling-min-bursts", "2", "--coupling-min-ratio", "0.5", "--coupling-min-activity-gap-minutes", "7", "--coupling-time-overlap-minutes", "8", "--coupling-min-distance", "1", "--coupling-max-common-roots", "4"])
+    assert cli.config(a).coupling == CouplingConfig.from_minutes(7, 8, bucket_days=5, min_bursts=2, min_ratio=0.5, min_distance=1, max_common_roots=4)
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from loamline.session import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context))

@@ -98,3 +98,19 @@ def test_repository_by_prefix(spark):
     repos = spark.createDataFrame([("outer", ["a"], 0), ("inner", ["a", "b"], 1)], "repo string, root array<string>, load_ord int")
     assert {"/".join(r.path): r.repo for r in history.repository_of(paths, repos).collect()} == {"a/b/c": "outer", "a/x": "outer"}
     assert {"/".join(r.path): r.repo for r in history.repository_of(paths, repos, nearest=True).collect()} == {"a/b/c": "inner", "a/x": "outer"}
+
+
+@pytest.mark.parametrize("raw", [b"\xff\xfea", b"\xfe\xff", b"\xff\xfe\x01\xd8a\0", b"\xff\xfe\x01\xdc", b"\xfe\xff\xd8\x01\xd8\x01\xdc\x01\0z", b"\xfe\xff\xdc\x01\xd8\x01", b"\xff\xfe" + "a😀é".encode("utf-16-le") + b"\x01"])
+def test_no_wide_text_is_an_error(spark, raw):
+    charset = "utf-16-le" if raw.startswith(b"\xff") else "utf-16-be"
+    assert one(spark, bytearray(raw), text.decoded, "binary") == raw[2:].decode(charset, "replace")
+
+
+def test_malformed_files_are_counted(spark):
+    got = {r.path: r.loc for r in indicators.loc(files(spark, [("a.txt", b"\xff\xfea"), ("b.py", b"\xff\xfe\x01\xd8\n\0")])).collect()}
+    assert got["a.txt"].lines == 1 and got["b.py"].bytes == 6
+
+
+@pytest.mark.parametrize("message,wanted", [("one\ntwo lines\n\nbody", "one two lines"), ("a \n  b", "a b"), ("a\n \t\nb", "a"), ("\n\n a  b\n", "a  b"), (" \n", "[no message]"), (None, "[no message]"), ("x\r\ny\r\n\r\nz", "x y")])
+def test_first_paragraph(spark, message, wanted):
+    assert one(spark, message, people.first_paragraph) == wanted
