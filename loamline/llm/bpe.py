@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.held import held
 from loamline.session import ship
 
 LEAF_BYTES = 24
@@ -160,14 +161,8 @@ class PieceEncoder(dict):
         return b"".join(map(self.written.__getitem__, ids.split(b","))) if ids else b""
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
-
-
 def encoder(ranks_path: str, pattern: str) -> PieceEncoder:
-    key = (ranks_path, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(ranks_path, pattern)
-    return _ENCODERS[key]
+    return held("bpe", f"{ranks_path} {pattern}", lambda: PieceEncoder(ranks_path, pattern))
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, digests: bool = False) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loamline.llm.components import components, links_within
+from loamline.llm.held import release
 from loamline.llm.wordhash import grouped, hash_runs, hash_words, mix
 from loamline.session import discard, materialize, ship
 
@@ -124,6 +125,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = rows_per_band(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for begin, texts in grouped(batch.column(1).to_pylist()):

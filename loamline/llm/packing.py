@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.llm.held import held
 from loamline.session import materialize, ship
 
 END_ID = 2
@@ -114,14 +115,9 @@ class ChunkEncoder(dict):
         return b"".join(map(self.__getitem__, chunks))
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder for a tokenizer file; it outlives tasks, so its cache does too."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held("packing", path, lambda: ChunkEncoder(path))
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:

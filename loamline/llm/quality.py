@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamline.llm.held import release, trim
 from loamline.llm.labelled import held_out, training_rows
 from loamline.session import ship
 
@@ -159,6 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
         model.fit(np.concatenate(features).astype(np.float32), np.array([len(f) for f in features]), y, np.ones(len(y), np.float32))
         # The sample's share of either class isn't the labels': the logit moves by the difference of the log odds.
         model.shift = float(np.log(counts[1] / counts[0]) - np.log(y.sum() / (len(y) - y.sum())))
+    del rows
+    trim()
     return model
 
 
@@ -172,6 +175,7 @@ def score(docs: DataFrame, model: AttentionMIL, threshold: float = THRESHOLD) ->
     """doc_id, held_out, score and predicted of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(batch_scores(model, batch.column(1).to_pylist()))], ["doc_id", "score"])
 
@@ -184,6 +188,7 @@ def accepted(docs: DataFrame, model: AttentionMIL, threshold: float = THRESHOLD)
     """The rows of ``docs``, with all their columns, that score at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             yield batch.filter(pa.array(batch_scores(model, batch.column(at).to_pylist()) >= threshold))
 

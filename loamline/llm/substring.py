@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamline.llm.held import release
 from loamline.llm.wordhash import grouped, hash_runs, hash_words, mix, powers
 from loamline.session import materialize, ship
 
@@ -104,6 +105,7 @@ def _records_of(window: int, anchor: int):
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], ["seed", "stretch", "doc", "twin", "start", "windows", "later"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         parts, held = [], 0
         for batch in batches:
             ids, twins = np.asarray(batch.column(0)), np.asarray(batch.column(1))

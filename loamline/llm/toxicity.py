@@ -39,9 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamline.llm.held import held, trim
 from loamline.llm.labelled import held_out, training_rows
 from loamline.llm.wordhash import HashTable, hash_letters, hash_runs, hash_words
 from loamline.session import ship
@@ -55,7 +56,7 @@ FIRST_BLOCKS, TOGETHER = 4, 32
 THRESHOLD = 0.5
 REMEMBERED = 20_000
 #: Characters of a text whose words are listed at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _WORD = re.compile(r"[^\W\d_]+")
 _SPACE = re.compile(r"\s")
@@ -64,8 +65,6 @@ _SPACE = re.compile(r"\s")
 Vector = tuple[np.ndarray, np.ndarray] | dict[int, float]
 #: Cosines, largest first, and entries.
 Found = tuple[np.ndarray, np.ndarray]
-#: What a worker has built from the model that it scores with last: it outlives tasks.
-_BUILT: dict[str, tuple] = {}
 
 
 def words(text: str) -> list[str]:
@@ -133,12 +132,20 @@ class BlockMaxIndex:
 
     def __init__(self, vectors: list[Vector], n_terms: int) -> None:
         vectors = [sides(v) for v in vectors]
-        self.n, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
         sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        self._fill(sizes, np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]), np.concatenate([np.zeros(0), *(w for _, w in vectors)]), n_terms)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> BlockMaxIndex:
+        """The same of vectors that lie one behind another."""
+        self = cls.__new__(cls)
+        self._fill(sizes, terms, weights, n_terms)
+        return self
+
+    def _fill(self, sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
+        self.n, self.blocks = len(sizes), -(-len(sizes) // BLOCK)
         self.begin = np.concatenate([[0], np.cumsum(sizes)])
-        self.terms = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in vectors)]).astype(np.int32)
-        self.weights = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        self.n_terms = n_terms
+        self.terms, self.weights, self.n_terms = terms.astype(np.int32), weights, n_terms
         seen = np.bincount(self.terms, minlength=n_terms)
         frequent = np.flatnonzero(seen * FREQUENT > self.n)
         self.column = np.full(n_terms, -1, np.int32)
@@ -237,27 +244,27 @@ class NearestExamples:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state, words=pa.array([], pa.string()))
-        if self.key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[self.key] = (*self.built(), {}) if hasattr(self, "hashes") else (None, None, {})
-        self.index, self.vocabulary, self.known = _BUILT[self.key]
+        self.index, self.vocabulary, self.known = held("toxicity", self.key, self.built)
 
-    def built(self) -> tuple[BlockMaxIndex, HashTable]:
-        ends = np.cumsum(self.sizes)
-        vectors = [self.vector(self.entry_terms[e - n : e], self.entry_times[e - n : e]) for e, n in zip(ends.tolist(), self.sizes.tolist())]
-        return BlockMaxIndex(vectors, len(self.weight)), HashTable(self.hashes)
+    def built(self) -> tuple[BlockMaxIndex | None, HashTable | None, dict]:
+        if not hasattr(self, "hashes"):
+            return None, None, {}
+        weights = (1 + np.log(self.entry_times.astype(float))) * self.weight[self.entry_terms]
+        norms = np.sqrt(np.add.reduceat(weights * weights, np.cumsum(self.sizes) - self.sizes))
+        weights /= np.repeat(norms, self.sizes)
+        return BlockMaxIndex.of(self.sizes, self.entry_terms, weights, len(self.weight)), HashTable(self.hashes), {}
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> Vector:
-        weights = (1 + np.log(times)) * self.weight[terms]
+        weights = (1 + np.log(times.astype(float))) * self.weight[terms]
         return terms, weights / math.sqrt(weights @ weights)
 
-    def fit(self, words: pa.StringArray, hashes: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: dict[int, float], none: float) -> None:
+    def fit(self, spark: SparkSession, words: pa.StringArray, hashes: np.ndarray, weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], shares: dict[int, float], none: float) -> None:
         """``words``: those of each example; ``examples``: (doc_id, label, ascending terms, times); ``shares``: sampled share of either class."""
         self.words, self.hashes, self.weight, self.none = words, hashes, weight, none
         votes: dict[bytes, list] = {}
         keys = []
         for doc_id, label, ids, times in examples:
-            keys.append(ids.tobytes() + times.tobytes())
+            keys.append(xxhash.xxh3_128_digest(ids.tobytes() + times.tobytes()))
             entry = votes.setdefault(keys[-1], [0.0, 0.0, doc_id, ids, times])
             entry[label] += 1 / shares[label]
 
@@ -267,13 +274,12 @@ class NearestExamples:
 
         # Entries with the same heavy terms lie together, so that blocks are tight.
         ordered = sorted(votes.items(), key=heaviest)
-        self.entry_terms, self.entry_times = (np.concatenate([v[i] for _, v in ordered]).astype(np.int32) for i in (3, 4))
         self.sizes = np.array([len(v[3]) for _, v in ordered])
+        self.entry_terms, times = (np.concatenate([v[i] for _, v in ordered]) for i in (3, 4))
+        self.entry_times = times.astype(np.min_scalar_type(int(times.max())))
         self.votes = np.array([v[:2] for _, v in ordered])
         self.doc_ids = np.array([v[2] for _, v in ordered], np.int64)
-        self.index, self.vocabulary = self.built()
-        bounds = list(zip(self.index.begin[:-1].tolist(), self.index.begin[1:].tolist()))
-        near = self.index.top_many([(self.index.terms[b:e], self.index.weights[b:e]) for b, e in bounds], NEIGHBOURS)
+        near = self.neighbours_of_entries(spark)
         place = {key: i for i, (key, _) in enumerate(ordered)}
         x, y, w = [], [], []
         for key, (_, label, _, _) in zip(keys, examples):
@@ -285,6 +291,23 @@ class NearestExamples:
             w.append(1 / shares[label])
         self.curve = logistic(np.array(x), np.array(y, float), np.array(w))
 
+    def neighbours_of_entries(self, spark: SparkSession) -> list[Found]:
+        """Each entry's nearest entries; executors build the index and search."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = self.index
+            for batch in batches:
+                for begin in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(begin, TOGETHER)
+                    spans = [slice(index.begin[i], index.begin[i + 1]) for i in part.column(0).to_pylist()]
+                    found = index.top_many([(index.terms[x], index.weights[x]) for x in spans], NEIGHBOURS)
+                    columns = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["id", "cosines", "entries"])
+
+        rows = spark.range(0, len(self.sizes), 1, spark.sparkContext.defaultParallelism).mapInArrow(run, "id long, cosines binary, entries binary").toArrow().sort_by("id")
+        pairs = zip(rows.column("cosines").to_pylist(), rows.column("entries").to_pylist())
+        return [(np.frombuffer(c, float), np.frombuffer(e, np.int64)) for c, e in pairs]
+
     def _share(self, found: Found) -> float:
         """Log odds of toxic votes, smoothed by one vote at the prior."""
         clean, toxic = (1 / (np.maximum(0.0, 1 - found[0]) + SMOOTH)) @ self.votes[found[1]]
@@ -418,6 +441,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     kind_of[witness] = kinds
     of_term, is_toxic = pairs // len(kind_of), kind_of[pairs % len(kind_of)]
     a, b = (np.bincount(of_term[is_toxic == c], minlength=len(hashes)).astype(float) for c in (1, 0))
+    del pairs, of_term, is_toxic, owner, witness, kind_of
     seen, rows = document_frequencies(docs, hashes)
     weight = (np.log((1 + rows) / (1 + np.minimum(seen, rows))) + 1) * np.sqrt(1 + likelihood_ratio(a, b, float(voices[1]), float(voices[0])))
     shares = {c: n[c] / counts[c] for c in (0, 1)}
@@ -430,7 +454,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         mine = np.argsort(ids[end - size : end])
         examples.append((doc_ids[i], c, ids[end - size : end][mine], times[end - size : end][mine]))
     none = (without[1] + model.prior) / (without[0] + without[1] + 1)
-    model.fit(words, hashes, weight, examples, shares, none)
+    del ids, times
+    model.fit(docs.sparkSession, words, hashes, weight, examples, shares, none)
+    del examples
+    trim()
     return model
 
 
