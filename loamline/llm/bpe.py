@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loamline.llm.held import held
 from loamline.session import ship
 
-LEAF_BYTES = 24
+LEAF_BYTES, LEAF_TOKENS = 24, 256
 CACHE_PIECES = 500_000
 #: Unicode White_Space, written out: Python's own \s also takes the ASCII separators 1C to 1F.
 _SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -129,11 +129,16 @@ class TreeBPE:
         return [self.ranks[piece]] if piece in self.ranks else self.tree(piece)
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of ids: leaves are looked up, inner nodes concatenate."""
-        if len(ids) <= 4096:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        middle = len(ids) // 2
-        return self.decode(ids[:middle]) + self.decode(ids[middle:])
+        """Bytes of ids."""
+        return concatenated(ids, self.tokens)
+
+
+def concatenated(ids: list, tokens: dict) -> bytes:
+    """Up the tree: leaves are looked up, inner nodes concatenate."""
+    if len(ids) <= LEAF_TOKENS:
+        return b"".join(map(tokens.__getitem__, ids))
+    middle = len(ids) // 2
+    return concatenated(ids[:middle], tokens) + concatenated(ids[middle:], tokens)
 
 
 class PieceEncoder(dict):
@@ -158,7 +163,7 @@ class PieceEncoder(dict):
         return b",".join(map(self.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.written.__getitem__, ids.split(b","))) if ids else b""
+        return concatenated(ids.split(b","), self.written) if ids else b""
 
 
 def encoder(ranks_path: str, pattern: str) -> PieceEncoder:

@@ -17,7 +17,8 @@ a repeated task replaces its own archive.
 
 Defined cases: a null html is an empty payload, a null url an empty target; rows
 without a page_id are always responses, and nothing refers to them; repeated rows
-give one capture each, all of the same type; an empty table gives no archive and no capture.
+give one capture each, all of the same type, and rows that differ in their url are
+captures of their own; an empty table gives no archive and no capture.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from loamline.session import fresh_path, materialize, ship
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVE_BYTES = 64 << 20
-#: Shared digests (about 60 bytes each) are broadcast up to this many and joined by a shuffle beyond.
+#: Shared digests (about 120 bytes each) are broadcast up to this many and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
 LEVEL = 1
 COPIES = 10_000
@@ -46,7 +47,7 @@ COPIES = 10_000
 _HEAD = "WARC-Type: {}\r\nWARC-Record-ID: {}\r\nWARC-Date: " + DATE + "\r\n"
 _RECORDS = (
     "archive string, record_id string, transaction string, type string, target string, page_id long, "
-    "payload_digest string, payload_bytes long, refers_to string, content binary"
+    "payload_digest string, payload_bytes long, refers_to string, refers_page long, content binary"
 )
 
 
@@ -54,8 +55,12 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(kind: str, page_id: int | None, digest: str) -> str:
-    h = hashlib.md5(f"{kind} {page_id} {digest}".encode()).hexdigest()
+def target_of(url: str | None) -> str:
+    return " ".join((url or "").split())
+
+
+def record_id(kind: str, page_id: int | None, digest: str, target: str) -> str:
+    h = hashlib.md5(f"{kind} {page_id} {digest} {target}".encode()).hexdigest()
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
 
 
@@ -66,21 +71,24 @@ def member(head: str, block: bytes, level: int = LEVEL) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def capture(page_id: int | None, url: str | None, html: str | None, first: int | None) -> bytes:
-    """Request, response or revisit, and metadata of one page; ``first`` is the page that holds an equal payload."""
-    payload, target = (html or "").encode(), " ".join((url or "").split())
+def capture(page_id: int | None, url: str | None, html: str | None, first: int | None, first_url: str | None = None) -> bytes:
+    """Request, response or revisit, and metadata of one page; ``first`` is the page that holds an equal payload.
+
+    The metadata of a revisit tell that page, so that no reader has to look for it.
+    """
+    payload, target = (html or "").encode(), target_of(url)
     digest = base32_sha1(payload)
     revisit = first is not None and first != page_id
-    me = record_id("response", page_id, digest)
+    me = record_id("response", page_id, digest, target)
     about = f"WARC-Target-URI: {target}\r\n"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     head = _HEAD.format("revisit" if revisit else "response", me) + about + f"WARC-Payload-Digest: sha1:{digest}\r\nContent-Type: application/http;msgtype=response\r\n"
     if revisit:
-        head += f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: {record_id('response', first, digest)}\r\n"
+        head += f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: {record_id('response', first, digest, target_of(first_url))}\r\n"
     joined = f"WARC-Concurrent-To: {me}\r\n"
-    request = _HEAD.format("request", record_id("request", page_id, digest)) + about + joined + "Content-Type: application/http;msgtype=request\r\n"
-    metadata = _HEAD.format("metadata", record_id("metadata", page_id, digest)) + about + joined + "Content-Type: application/warc-fields\r\n"
-    fields = f"page-id: {page_id}\r\n" if page_id is not None else ""
+    request = _HEAD.format("request", record_id("request", page_id, digest, target)) + about + joined + "Content-Type: application/http;msgtype=request\r\n"
+    metadata = _HEAD.format("metadata", record_id("metadata", page_id, digest, target)) + about + joined + "Content-Type: application/warc-fields\r\n"
+    fields = (f"page-id: {page_id}\r\n" if page_id is not None else "") + (f"refers-to-page-id: {first}\r\n" if revisit else "")
     return (
         member(request, f"GET {target} HTTP/1.1\r\n\r\n".encode()) + member(head, http if revisit else http + payload) + member(metadata, fields.encode())
     )
@@ -94,11 +102,11 @@ def write_archives(pages: DataFrame, path: str | None = None, min_revisit_bytes:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
     eligible = rows.filter(F.octet_length("html") >= min_revisit_bytes)
-    shared = materialize(eligible.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", "first"), "shared")
+    shared = materialize(eligible.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "shared")
     if shared.count() <= BROADCAST_ROWS:
         shared = F.broadcast(shared)
     is_shared = F.col("page_id").isNotNull() & (F.octet_length("html") >= min_revisit_bytes)
-    typed = rows.join(shared, "digest", "left").select("page_id", "url", "html", F.when(is_shared, F.col("first")).alias("first"))
+    typed = rows.join(shared, "digest", "left").select("page_id", "url", "html", F.when(is_shared, F.col("first")).alias("first"), "first_url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = fs.FileSystem.from_uri(path)
@@ -121,10 +129,10 @@ def write_archives(pages: DataFrame, path: str | None = None, min_revisit_bytes:
 
         for batch in batches:
             for i in range(batch.num_rows):
-                data = capture(*(batch.column(c)[i].as_py() for c in range(4)))
+                data = capture(*(batch.column(c)[i].as_py() for c in range(5)))
                 if out is None:
                     out = files.open_output_stream(waiting(), compression=None)
-                    info = member(_HEAD.format("warcinfo", record_id("warcinfo", part, str(made))) + "Content-Type: application/warc-fields\r\n", b"format: WARC File Format 1.1\r\n")
+                    info = member(_HEAD.format("warcinfo", record_id("warcinfo", part, str(made), "")) + "Content-Type: application/warc-fields\r\n", b"format: WARC File Format 1.1\r\n")
                     out.write(info)
                     size += len(info)
                 out.write(data)
@@ -177,7 +185,7 @@ def read_records(manifest: DataFrame, with_content: bool = True) -> DataFrame:
 
     def one(archive: str, head: dict[str, str], block: bytes) -> tuple:
         kind, me = head["warc-type"], head["warc-record-id"]
-        page_id = digest = size = refers = None
+        page_id = digest = size = refers = page = None
         if kind in ("response", "revisit"):
             http, _, body = block.partition(b"\r\n\r\n")
             told = next(x for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
@@ -186,12 +194,12 @@ def read_records(manifest: DataFrame, with_content: bool = True) -> DataFrame:
                 raise ValueError(f"{archive}: {me} doesn't hold the payload of its digest")
         elif kind == "metadata":
             fields = dict(x.split(": ", 1) for x in block.decode().split("\r\n") if ": " in x)
-            page_id = int(fields["page-id"]) if "page-id" in fields else None
-        return archive, me, head.get("warc-concurrent-to", me), kind, head.get("warc-target-uri"), page_id, digest, size, refers, block if with_content else None
+            page_id, page = (int(fields[k]) if k in fields else None for k in ("page-id", "refers-to-page-id"))
+        return archive, me, head.get("warc-concurrent-to", me), kind, head.get("warc-target-uri"), page_id, digest, size, refers, page, block if with_content else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
-            [(n, pa.string()) for n in names[:5]] + [("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("content", pa.binary())]
+            [(n, pa.string()) for n in names[:5]] + [("page_id", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("refers_page", pa.int64()), ("content", pa.binary())]
         )
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -221,7 +229,7 @@ def read_records(manifest: DataFrame, with_content: bool = True) -> DataFrame:
 
 def transactions(records: DataFrame) -> DataFrame:
     """One row per capture: transaction, page_id, and the nested request, response and metadata records."""
-    nested = F.struct("record_id", "type", "target", "page_id", "payload_digest", "payload_bytes", "refers_to", "content")
+    nested = F.struct("record_id", "type", "target", "page_id", "payload_digest", "payload_bytes", "refers_to", "refers_page", "content")
     is_response = F.col("type").isin("response", "revisit")
 
     def of(condition: Column) -> Column:
@@ -240,9 +248,5 @@ def transactions(records: DataFrame) -> DataFrame:
 def captures(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Write ``pages``, read the archives back and tell of every page how it was stored."""
     records = read_records(write_archives(pages, min_revisit_bytes=min_revisit_bytes), with_content=False)
-    found = materialize(transactions(records).select("transaction", "page_id", "response.type", "response.payload_digest", "response.payload_bytes", "response.refers_to"), "captures")
-    origin = found.filter("type = 'response'").select(F.col("transaction").alias("refers_to"), F.col("page_id").alias("origin")).dropDuplicates(["refers_to"])
-    revisits = found.filter("refers_to is not null").join(origin, "refers_to", "left")
-    columns = ["page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type")]
-    plain = found.filter("refers_to is null").select(*columns, F.lit(None).cast("long").alias("refers_to"))
-    return plain.unionByName(revisits.select(*columns, F.col("origin").alias("refers_to")))
+    columns = ["page_id", "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), F.col("metadata.refers_page").alias("refers_to")]
+    return transactions(records).select(*columns)

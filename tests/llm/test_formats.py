@@ -117,3 +117,12 @@ def test_only_repeated_turns_are_aggregated(spark, monkeypatch, limit):
     rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "z", "a"), (1, 1, None, None), (2, 0, "user", "c"), (2, 0, "user", "c")]
     got = chat.turns(spark.createDataFrame(rows, "pair_id long, turn int, role string, text string")).collect()
     assert sorted(map(tuple, got)) == [(1, 0, "user", "a"), (1, 1, "", ""), (2, 0, "user", "c")]
+
+
+def test_urls_of_one_page_are_captures_of_their_own(spark):
+    df = spark.createDataFrame([(1, "http://a", "<p>", "", 0), (1, "http://b", "<p>", "", 0), (2, "http://c", "<p>", "", 0), (None, "http://d", "<p>", "", 0)], PAGES)
+    got = warc.transactions(warc.read_records(warc.write_archives(df))).collect()
+    assert sorted(r.request.target for r in got) == ["http://a", "http://b", "http://c", "http://d"]
+    by = {r.request.target: r for r in got}
+    assert by["http://c"].response.refers_to == by["http://a"].response.record_id and by["http://c"].metadata.refers_page == 1
+    assert [by[f"http://{x}"].response.type for x in "abd"] == ["response"] * 3
