@@ -10,15 +10,12 @@ labelled rows among the documents that its stage is given.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamline.llm import minhash, packing, quality, substring, toxicity
 from loamline.session import fresh_path, materialize, table
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-
 #: Near duplicates share at least this percentage of their 5-word shingles.
 NEAR_PERCENT = 80
 
@@ -51,7 +48,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in windows of 4096 tokens, with their ids."""
-    return packing.pack(docs, TOKENIZER, with_ids=True)
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
