@@ -17,6 +17,7 @@ gives no row; without labels of both classes every score is the share of 1
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +37,29 @@ HIDDEN, ATTENTION = 24, 12
 STEPS, BATCH, RATE, DECAY = 1400, 64, 0.01, 1e-5
 THRESHOLD = 0.3
 WIDTH = 256 + PAIR_BINS + 2
-#: Bytes of text that are encoded at once; a longer text is encoded alone.
+#: Characters of text that are encoded at once; a longer text is encoded alone, part by part.
 GROUP_BYTES = 1 << 19
-
-
-def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the texts, and each text's number of passages (at least one)."""
-    raw = [t.encode() for t in texts]
+_SPACE = re.compile(r"\s")
+
+
+def repeats(text: str) -> float:
+    """The share of a text's words that it has had before."""
+    words = text.split() if len(text) <= GROUP_BYTES else None
+    if words is not None:
+        return 1 - len(set(words)) / len(words) if words else 0.0
+    hashes, at = [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        space = _SPACE.search(text, at + GROUP_BYTES)
+        end = space.start() if space else len(text)
+        hashes.append(np.fromiter(map(hash, text[at:end].split()), np.int64))
+        at = end
+    every = np.concatenate(hashes)
+    return 1 - len(np.unique(every)) / len(every) if len(every) else 0.0
+
+
+def encode(texts: list[str], shares: list[float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of the texts (or of bytes that are whole passages of one, whose share of repeats is given), and each text's number of passages (at least one)."""
+    raw = [t.encode() if isinstance(t, str) else t for t in texts]
     sizes = np.array([len(x) for x in raw], np.int64)
     counts = np.maximum(1, -(-sizes // PASSAGE_BYTES))
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -60,11 +77,18 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     out[:, 256:-2] = np.sqrt(double / length)
     out[:, -2] = single.sum(1) / PASSAGE_BYTES
     for i, text in enumerate(texts):
-        words = text.split()
-        out[first[i] : first[i] + counts[i], -1] = 1 - len(set(words)) / len(words) if words else 0
+        out[first[i] : first[i] + counts[i], -1] = shares[i] if shares else repeats(text)
     return out, counts
 
 
+def parts_of(text: str) -> Iterator[np.ndarray]:
+    """Features of a long text's passages, a bounded number at a time."""
+    raw, share = text.encode(), repeats(text)
+    step = GROUP_BYTES // PASSAGE_BYTES * PASSAGE_BYTES
+    for begin in range(0, len(raw), step):
+        yield encode([raw[begin : begin + step]], [share])[0]
+
+
 class AttentionMIL:
     """h = relu(W x); a = softmax(w . (tanh(V h) * sigmoid(U h))); score = sigmoid(c . sum a h)."""
 
@@ -78,11 +102,26 @@ class AttentionMIL:
         self.shift, self.constant = 0.0, prior
         self.fitted = False
 
-    def forward(self, x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        p, first, bag = self.p, np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    def passages(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hidden values, both gates' parts and attention logits of passages."""
+        p = self.p
         h = np.maximum(x @ p["W"] + p["b"], 0)
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * g) @ p["w"]
+        return h, t, g, (t * g) @ p["w"]
+
+    def long_score(self, text: str) -> float:
+        """The score of a text whose passages are encoded part by part."""
+        if not self.fitted:
+            return self.constant
+        hidden, logits = zip(*((h, e) for h, _, _, e in map(self.passages, parts_of(text))))
+        h, e = np.concatenate(hidden), np.concatenate(logits)
+        a = np.exp(e - e.max())
+        logit = float(((a / a.sum())[:, None] * h).sum(0) @ self.p["c"] + self.p["d"][0])
+        return 1 / (1 + np.exp(-(logit + self.shift)))
+
+    def forward(self, x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+        p, first, bag = self.p, np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+        h, t, g, e = self.passages(x)
         e = np.exp(e - np.maximum.reduceat(e, first)[bag])
         a = e / np.add.reduceat(e, first)[bag]
         z = np.add.reduceat(a[:, None] * h, first)
@@ -168,7 +207,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 def batch_scores(model: AttentionMIL, texts: list[str | None]) -> np.ndarray:
     """Scores of whole texts, a bounded number of bytes at a time."""
     whole = [t or "" for t in texts]
-    return np.concatenate([np.zeros(0), *(model.scores(*encode(whole[begin:end])) for begin, end in groups(whole))])
+
+    def scores(begin: int, end: int) -> np.ndarray:
+        if end - begin == 1 and len(whole[begin]) > GROUP_BYTES:
+            return np.array([model.long_score(whole[begin])])
+        return model.scores(*encode(whole[begin:end]))
+
+    return np.concatenate([np.zeros(0), *(scores(begin, end) for begin, end in groups(whole))])
 
 
 def score(docs: DataFrame, model: AttentionMIL, threshold: float = THRESHOLD) -> DataFrame:

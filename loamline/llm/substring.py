@@ -40,10 +40,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamline.llm.held import release
-from loamline.llm.wordhash import grouped, hash_runs, hash_words, mix, powers
+from loamline.llm.wordhash import grouped, hash_runs, hash_words, mix, pieces, powers
 from loamline.session import materialize, ship
 
 WINDOW, ANCHOR = 20, 6
+#: Windows of a long text that are looked at together.
+SEGMENT = 1 << 18
 #: Records (40 bytes each) within which copies are reduced before they are shuffled.
 HELD_RECORDS = 300_000
 _NULL_ID = -(1 << 63)
@@ -66,11 +68,23 @@ def seeds(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 def records(texts: list[bytes], window: int, anchor: int) -> tuple[np.ndarray, ...]:
     """(text, first window, windows, seed hash, stretch hash) of all records of the texts."""
-    hashes, first, _, _ = hash_words(texts, fold=False)
+    hashes, first = hash_words(texts, fold=False)[:2]
+    if len(texts) > 1 or len(hashes) < SEGMENT + window:
+        return _records(hashes, first, window, anchor)
+    # A stretch that ends at a segment's end is one more stretch of its seed.
+    parts = []
+    for begin in range(0, len(hashes) - window + 1, SEGMENT):
+        part = hashes[begin : begin + SEGMENT + window - 1]
+        owner, start, *rest = _records(part, np.array([0, len(part)]), window, anchor)
+        parts.append((owner, start + begin, *rest))
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _records(hashes: np.ndarray, first: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     if len(hashes) < window:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
     seed, runs = seeds(hashes, window, anchor), hash_runs(hashes, anchor, salt=1)
-    owner = np.repeat(np.arange(len(texts)), np.diff(first))
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(owner[: len(seed)] == owner[window - 1 :])
     if not len(at):
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
@@ -148,16 +162,29 @@ def _windows_of(window: int):
     return run
 
 
-def kept_words(raw: bytes, spans: list[tuple[int, int]] | None, window: int) -> tuple[list[bytes], np.ndarray | None]:
-    """All words of a text, and which of them stay (None: all)."""
-    words = raw.split()
+def kept_words(raw: bytes, spans: list[tuple[int, int]] | None, window: int) -> tuple[int, np.ndarray | None]:
+    """How many words a text has, and which of them stay (None: all)."""
+    n = sum(len(piece.split()) for piece in pieces(raw))
     if not spans:
-        return words, None
-    edge = np.zeros(len(words) + 1, np.int64)
+        return n, None
+    edge = np.zeros(n + 1, np.int32)
     for start, windows in spans:
-        edge[min(start, len(words))] += 1
-        edge[min(start + windows + window - 1, len(words))] -= 1
-    return words, np.cumsum(edge[:-1]) == 0
+        edge[min(start, n)] += 1
+        edge[min(start + windows + window - 1, n)] -= 1
+    return n, np.cumsum(edge[:-1]) == 0
+
+
+def kept_digest(raw: bytes, keep: np.ndarray | None) -> str:
+    """SHA-256 of the words that stay, joined by one space."""
+    found, at, between = hashlib.sha256(), 0, b""
+    for piece in pieces(raw):
+        words = piece.split()
+        at += len(words)
+        left = words if keep is None else list(compress(words, keep[at - len(words) : at].tolist()))
+        if left:
+            found.update(between + b" ".join(left))
+            between = b" "
+    return found.hexdigest()
 
 
 def without(raw: bytes, keep: np.ndarray) -> str:
@@ -175,13 +202,12 @@ def _cut(window: int, digests: bool):
                 rows = []
                 for doc, twin, text, spans in zip(*(part.column(i).to_pylist() for i in range(4))):
                     raw = (text or "").encode()
-                    words, keep = kept_words(raw, [(s["start"], s["windows"]) for s in spans or []], window)
+                    n_words, keep = kept_words(raw, [(s["start"], s["windows"]) for s in spans or []], window)
                     if digests:
-                        joined = b" ".join(words if keep is None else compress(words, keep.tolist()))
-                        result = hashlib.sha256(joined).hexdigest()
+                        result = kept_digest(raw, keep)
                     else:
                         result = text if keep is None else without(raw, keep)
-                    rows.append((doc, twin, len(words), 0 if keep is None else int((~keep).sum()), result))
+                    rows.append((doc, twin, n_words, 0 if keep is None else int((~keep).sum()), result))
                 columns = list(zip(*rows))
                 kinds = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc", "twin", "n_words", "n_removed", "result"])

@@ -22,8 +22,9 @@ _TABLE[SPACE] = 0
 _FOLDED = _TABLE.copy()
 _FOLDED[65:91] = _TABLE[97:123]
 _BASE, _WORDS = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Bytes of text that are hashed at once; a longer text is hashed alone.
+#: Bytes of text that are hashed at once; a longer text is hashed alone, piece by piece.
 GROUP_BYTES = 1 << 19
+_WHITE = re.compile(rb"[ \t-\r]")
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -51,28 +52,49 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def hash_words(texts: list[bytes], fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of the texts; where each text's words begin (one more entry than texts); byte ranges of the words in the joined texts."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    word = ~SPACE[data]
-    edge = np.flatnonzero(np.diff(word, prepend=False))
-    starts, ends = edge[0::2], edge[1::2]
-    power, inverse = powers(_BASE, len(data))
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((_FOLDED if fold else _TABLE)[data] * power, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
-    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
+    joined = b" ".join(texts) + b" "
+    place = np.int32 if len(joined) < 1 << 31 else np.int64
+    hashes, starts, ends, at = [], [], [], 0
+    for piece in pieces(joined):
+        data = np.frombuffer(piece, np.uint8)
+        edge = np.flatnonzero(np.diff(~SPACE[data], prepend=False, append=False))
+        power, inverse = powers(_BASE, len(data))
+        sums = np.zeros(len(data) + 1, _U)
+        np.cumsum((_FOLDED if fold else _TABLE)[data] * power, out=sums[1:])
+        begin, end = edge[0::2], edge[1::2]
+        hashes.append(mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(_U)))
+        starts.append((begin + at).astype(place))
+        ends.append((end + at).astype(place))
+        at += len(piece)
+    hashes, starts, ends = (np.concatenate(x) for x in (hashes, starts, ends))
+    first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
     return hashes, first, starts, ends
 
 
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """The bytes in pieces of about GROUP_BYTES that end at white space."""
+    at = 0
+    while at < len(raw):
+        space = _WHITE.search(raw, at + GROUP_BYTES) if len(raw) - at > 2 * GROUP_BYTES else None
+        end = space.end() if space else len(raw)
+        yield raw[at:end]
+        at = end
+
+
 def hash_runs(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hashes of all runs of k consecutive words; entry i begins at word i."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, _U)
-    power, inverse = powers(_WORDS, n)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(hashes * power, out=sums[1:])
-    return mix((sums[k:] - sums[: n - k + 1]) * inverse[: n - k + 1] + _U(salt))
+    out = np.empty(n - k + 1, _U)
+    for begin in range(0, len(out), GROUP_BYTES):
+        part = hashes[begin : begin + GROUP_BYTES + k - 1]
+        m = len(part) - k + 1
+        power, inverse = powers(_WORDS, len(part))
+        sums = np.zeros(len(part) + 1, _U)
+        np.cumsum(part * power, out=sums[1:])
+        out[begin : begin + m] = mix((sums[k:] - sums[:m]) * inverse[:m] + _U(salt))
+    return out
 
 
 def grouped(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
