@@ -61,7 +61,8 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The classifiers can't be expressed in SQL; the tests hold each stage against a brute-force version.
+#: The classifiers can't be expressed in SQL. The tests hold both dedup stages and the operators of the
+#: other three against brute force; those stages themselves only against their operators.
 ORACLE_SQL = None
 
 
