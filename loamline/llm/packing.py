@@ -16,12 +16,15 @@ piece. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
+from array import array
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,9 +36,9 @@ END_ID = 2
 CAPACITY = 4096
 #: Partition totals are broadcast up to this many rows (16 bytes each) and joined by a shuffle beyond.
 BROADCAST_ROWS = 200_000
-#: Chunks of a generation. A worker remembers two (about 0.25 kB a chunk): when the younger one is full, the
-#: older one goes, and chunks that are met again move on from it.
-CACHE_CHUNKS = 300_000
+#: Chunks of a generation that are encoded one by one. A worker remembers two (about 0.25 kB a chunk): when the
+#: younger one is full, the older one goes, and chunks that are met again move on from it.
+CACHE_CHUNKS = 50_000
 
 #: How a tokenizer must normalise and split for words to be encoded one by one.
 WORD_PIPELINE = {
@@ -58,6 +61,81 @@ _TOKENS = "part int, doc_id long, local_start long, length long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: Bytes that Merges takes: letters a-z and, behind 0xC3, those of U+00DF to U+00FF, which are lower case and NFC; ASCII punctuation.
+_LATIN = np.isin(np.arange(256), [b for b in range(0x9F, 0xC0) if b != 0xB7])
+_SMALL = np.isin(np.arange(256), list(string.ascii_lowercase.encode()))
+_MARKS = np.isin(np.arange(256), list(string.punctuation.encode()))
+_NONE = np.int32(2**31 - 1)
+
+
+class Merges:
+    """The merges of a byte-level BPE model, for many words at once.
+
+    A step makes the first merge of the lowest rank in each word that has one, as
+    the tokenizers library does word by word.
+    """
+
+    #: Words of similar length are merged together; symbols of a group.
+    LENGTHS = (0, 1, 4, 7, 10, 14, 20, 32, 64)
+    SYMBOLS = 1 << 20
+
+    def __init__(self, model: dict) -> None:
+        vocab, last = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.size = max(vocab.values()) + 1
+        self.base = np.array([vocab[_BYTE_SYMBOLS[b] + end] for end in ("", last) for b in range(256)], np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
+        self.ranks = np.argsort(keys).astype(np.int32)
+        self.keys = keys[self.ranks]
+        self.first = self.rank(np.repeat(self.base, 512), np.tile(self.base, 512)).reshape(512, 512)
+
+    @staticmethod
+    def of(model: dict) -> Merges | None:
+        """None for a model that does more than merge pairs."""
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "ignore_merges", "byte_fallback"))
+        symbols = {s + end for s in _BYTE_SYMBOLS.values() for end in ("", model.get("end_of_word_suffix") or "")}
+        return Merges(model) if plain and symbols <= model["vocab"].keys() and len(model["merges"]) == len(set(map(str, model["merges"]))) else None
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left.astype(np.int64) * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], _NONE)
+
+    def merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(numbers of words, their ids and -1 behind them) in any order."""
+        for low, n in zip(self.LENGTHS, self.LENGTHS[1:]):
+            every = np.flatnonzero((lengths > low) & (lengths <= n))
+            for k in range(0, len(every), self.SYMBOLS // n):
+                yield from self._merge(data, starts, lengths, every[k : k + self.SYMBOLS // n], n)
+
+    def _merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        place, length = np.arange(n), lengths[words][:, None]
+        symbols = data[np.minimum(starts[words][:, None] + place, len(data) - 1)].astype(np.int32) + 256 * (place == length - 1)
+        ranks = np.where(place[1:] < length, self.first[symbols[:, :-1], symbols[:, 1:]], _NONE)
+        ids = np.where(place < length, self.base[symbols], np.int32(-1))
+        while n > 1:
+            at = ranks.argmin(axis=1)
+            lowest = ranks[np.arange(len(at)), at]
+            if (over := lowest == _NONE).any():
+                yield words[over], ids[over]
+                words, ids, ranks, at, lowest = (x[~over] for x in (words, ids, ranks, at, lowest))
+            if not len(words):
+                return
+            rows = np.arange(len(at))
+            ids[rows, at] = self.made[lowest]
+            n -= 1
+            ids = np.where(np.arange(n) > at[:, None], ids[:, 1:], ids[:, :-1])
+            if n > 1:
+                ranks = np.where(np.arange(n - 1) > at[:, None], ranks[:, 1:], ranks[:, :-1])
+                inner = np.flatnonzero(at < n - 1)
+                ranks[inner, at[inner]] = self.rank(ids[inner, at[inner]], ids[inner, at[inner] + 1])
+                inner = np.flatnonzero(at > 0)
+                ranks[inner, at[inner] - 1] = self.rank(ids[inner, at[inner] - 1], ids[inner, at[inner]])
+        if len(words):
+            yield words, ids
+
+
 class ChunkEncoder(dict):
     """Maps a chunk between ASCII white space to the bytes of its ids.
 
@@ -65,7 +143,7 @@ class ChunkEncoder(dict):
     ids are those of its chunks in order. Punctuation behind a word is a token
     sequence of its own, and a word of letters alone goes to the merges directly
     if the tokenizer splits texts as WORD_PIPELINE says. A text with a special
-    token's string is left to the tokenizer as a whole.
+    token's string, as it is or in lower case, is left to the tokenizer as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -74,10 +152,12 @@ class ChunkEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.code = "H" if size <= 1 << 16 else "I"
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        form = json.loads(self.tokenizer.to_str())
-        self.by_word = {k: form[k] for k in WORD_PIPELINE} == WORD_PIPELINE
+        form = {k: part and json.loads(part.__getstate__()) for k in WORD_PIPELINE for part in [getattr(self.tokenizer, k)]}
+        self.by_word = form == WORD_PIPELINE
         self.model = self.tokenizer.model
+        self.merges = Merges.of(json.loads(self.tokenizer.to_str())["model"]) if self.by_word else None
         self.older: dict[str, bytes] = {}
         self[""] = b""
 
@@ -92,27 +172,86 @@ class ChunkEncoder(dict):
             found = self._ids(chunk)
         elif chunk.isalpha() and chunk.islower() and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk)):
             symbols = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
-            found = np.array([t.id for t in self.model.tokenize(symbols)], self.dtype).tobytes()
-        elif chunk[-1] in ",.;:!?" and chunk[:-1].isalpha():
-            found = self[chunk[:-1]] + self[chunk[-1]]
+            found = array(self.code, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+        elif (word := chunk.rstrip(string.punctuation)) != chunk and unicodedata.normalize("NFC", word).lower().isalpha():
+            return self[word] + self[chunk[len(word):]]
         else:
             found = self._ids(chunk)
         if len(chunk) <= 64:
             self[chunk] = found
         return found
 
-    def encode(self, text: str) -> bytes:
+    def _spaced(self, text: str) -> str | None:
+        """The text with its chunks between single spaces; None if it is left to the tokenizer as a whole."""
         if any(s in text for s in self.specials):
-            return self._ids(text)
+            return None
+        # Python lowers only the sigma by its neighbours; elsewhere both do it character by character.
+        if self.by_word and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
+            text = text.lower()
+            if any(s in text for s in self.specials):
+                return None
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+
+    def _merged(self, chunks: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """The ids of the chunks that are small letters, then ASCII punctuation; the numbers of the others, which have none here."""
+        bounds = np.frombuffer(chunks.buffers()[1], np.int64, len(chunks) + 1, chunks.offset * 8)
+        data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)
+        if self.merges is None or not len(data):
+            return pa.array([b""] * len(chunks), pa.large_binary()), np.arange(len(chunks))
+        behind, ahead = np.append(np.uint8(0), data[:-1]), np.append(data[1:], np.uint8(0))
+        letter = _SMALL[data] | (data == 0xC3) & _LATIN[ahead] | _LATIN[data] & (behind == 0xC3)
+        mark = _MARKS[data]
+        back = letter & np.append(False, mark[:-1])
+        back[bounds[:-1][bounds[:-1] < len(data)]] = False
+
+        def count(which: np.ndarray) -> np.ndarray:
+            return np.diff(np.append(0, np.cumsum(which))[bounds])
+
+        sizes, letters = np.diff(bounds), count(letter)
+        taken = (sizes <= Merges.LENGTHS[-1]) & (count(~(letter | mark) | back) == 0)
+        starts = np.stack([bounds[:-1], bounds[:-1] + letters], 1).ravel()
+        lengths = np.where(taken[:, None], np.stack([letters, sizes - letters], 1), 0).ravel()
+        groups = [(words, ids, (ids >= 0).sum(axis=1)) for words, ids in self.merges.merge(data, starts, lengths)]
+        n = np.zeros(len(lengths), np.int64)
+        for words, _, k in groups:
+            n[words] = k
+        at = np.append(0, np.cumsum(n))
+        out = np.empty(at[-1], self.dtype)
+        for words, ids, k in groups:
+            real = ids >= 0
+            out[(at[words][:, None] + np.arange(ids.shape[1]))[real]] = ids[real]
+        ends = at[::2] * self.dtype.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(ends), pa.py_buffer(out)]), np.flatnonzero(~taken)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0].as_py()
+
+    def encode_all(self, texts: Sequence[str | None], end: bytes = b"") -> pa.BinaryArray:
+        """The ids of each text (null: none) and ``end`` behind them. Each distinct chunk is looked up once."""
         if len(self) > CACHE_CHUNKS:
             self.older = dict(self)
             self.clear()
             self[""] = b""
-        # Python lowers only the sigma by its neighbours; elsewhere both do it character by character.
-        if self.by_word and "Σ" not in text and (text.isascii() or unicodedata.is_normalized("NFC", text)):
-            text = text.lower()
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, chunks))
+        spaced = [self._spaced(t) if t else "" for t in texts]
+        split = pc.split_pattern(pa.array(spaced, pa.large_string()).fill_null(""), " ")
+        bounds = split.offsets.to_numpy()
+        coded = split.values.dictionary_encode()
+        known, rest = self._merged(coded.dictionary)
+        found = [self[c] for c in coded.dictionary.take(pa.array(rest)).to_pylist()]
+        place = np.arange(len(known))
+        place[rest] = len(known) + np.arange(len(rest))
+        which = place[coded.indices.to_numpy()]
+        for i, (t, s) in enumerate(zip(texts, spaced)):
+            if s is None:
+                which[bounds[i]] = len(known) + len(found)
+                found.append(self._ids(t))
+        if end:
+            which = np.insert(which, bounds[1:], len(known) + len(found))
+            found.append(end)
+            bounds = bounds + np.arange(len(bounds))
+        ids = pa.concat_arrays([known, pa.array(found, pa.large_binary())]).take(pa.array(which))
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[bounds]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends), ids.buffers()[2]]).cast(pa.binary())
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -127,11 +266,11 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
         enc = encoder(tokenizer_path)
         end, width, part, at = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize, TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [enc.encode(t) + end if t else end for t in batch.column(1).to_pylist()]
-            lengths = np.array([len(x) // width for x in ids], np.int64)
+            ids = enc.encode_all(batch.column(1).to_pylist(), end)
+            lengths = pc.binary_length(ids).to_numpy().astype(np.int64) // width
             ends = at + np.cumsum(lengths)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(ids), part, np.int32)), batch.column(0), pa.array(ends - lengths), pa.array(lengths), pa.array(ids, pa.binary())],
+                [pa.array(np.full(len(ids), part, np.int32)), batch.column(0), pa.array(ends - lengths), pa.array(lengths), ids],
                 ["part", "doc_id", "local_start", "length", "ids"],
             )
             at = int(ends[-1]) if len(ends) else at
@@ -145,19 +284,22 @@ def cut(tokens: DataFrame, width: int, capacity: int = CAPACITY, with_ids: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, first, ids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                n, at = len(ids) // width, 0
+            out: list[list] = [[] for _ in range(7)]
+            # The pieces of a batch follow one another without a gap, as its ids do.
+            ids = np.frombuffer(b"".join(batch.column(2).to_pylist()), f"<u{width}").astype("<i4")
+            begin = 0
+            for doc, first, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (pc.binary_length(batch.column(2)).to_numpy() // width).tolist()):
+                at = 0
                 while at < n:
                     sequence, offset = divmod(first + at, capacity)
                     take = min(capacity - offset, n - at)
-                    piece = np.frombuffer(ids, f"<u{width}", take, at * width).astype("<u4")
-                    for column, value in zip(out, (doc, at, take, zlib.crc32(piece), n, sequence, offset, piece if with_ids else None)):
+                    for column, value in zip(out, (doc, at, take, zlib.crc32(ids[begin + at : begin + at + take]), n, sequence, offset)):
                         column.append(value)
                     at += take
-            arrays = [pa.array(x, pa.int64()) for x in out[:7]]
+                begin += n
+            arrays = [pa.array(x, pa.int64()) for x in out]
             if with_ids:
-                arrays.append(pa.array(out[7], pa.list_(pa.int32())))
+                arrays.append(pa.ListArray.from_arrays(np.cumsum([0, *out[2]], dtype=np.int32), pa.array(ids, pa.int32())))
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     schema = _PIECES + (", ids array<int>" if with_ids else "")

@@ -49,3 +49,25 @@ def test_word_by_word_equals_the_tokenizer():
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_many_chunks_equal_the_tokenizer_and_are_not_kept():
+    enc, tok = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(6)
+    syllables = ["the", "er", "nd", "ing", "ou", "ß", "ñe", "é", "÷", "ü", "s", "x", "'", ".", "***", "$$$", ","]
+    texts = [" ".join("".join(rng.choices(syllables, k=rng.randint(1, 12))) for _ in range(400)) for _ in range(60)]
+    texts += [None, "", " ", "<|ENDOFTEXT|> <|StartOfText|>", "a <|endoftext|>", "\n", "q" * 65 + "z" * 64 + " " + "z" * 64 + "." * 64, "Ünd'S 12 œuf"]
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_all(texts, np.array([2], enc.dtype).tobytes()).to_pylist()]
+    assert got == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert enc.encode_all([]).to_pylist() == [] and enc.encode_all([None, ""]).to_pylist() == [b"", b""]
+
+    words = [f"{a}{b}{c}" for a in syllables[:5] for b in map(chr, range(97, 123)) for c in map(chr, range(97, 123))]
+    before = len(enc) + len(enc.older)
+    enc.encode_all([" ".join(words), " ".join(w + ",***" for w in words)])
+    assert len(enc) + len(enc.older) == before
+
+
+def test_upper_case_of_a_special_token_is_text_and_marks_join_punctuation():
+    enc, tok = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    for text in ("<|ENDOFTEXT|>", "x <|EndOfText|> y", "<|endoftext|> <|ENDOFTEXT|>", "Σ İ.", "\ufb2a,"):
+        assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
