@@ -96,3 +96,18 @@ def test_no_documents(spark):
     none = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_packing_stage_holds_the_tokenizers_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {1: "Un mot, naïve***", 2: None, 3: "an <|ENDOFTEXT|> in upper case", 4: "word " * 9000}
+    rows = [(d, t, "en", "s", len(t or "")) for d, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {d: [] for d in texts}
+    for r in sorted(corpus_pipeline.packing_stage(spark, df, SF).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(got[r.doc_id])
+        got[r.doc_id] += r.ids
+    assert got == {d: tok.encode(t or "", add_special_tokens=False).ids + [2] for d, t in texts.items()}
