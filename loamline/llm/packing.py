@@ -39,6 +39,8 @@ BROADCAST_ROWS = 200_000
 #: Chunks of a generation that are encoded one by one. A worker remembers two (about 0.25 kB a chunk): when the
 #: younger one is full, the older one goes, and chunks that are met again move on from it.
 CACHE_CHUNKS = 50_000
+#: Merged chunks (64 bytes at most, 9 in the mean) that a worker remembers with their ids, those that came up most and latest.
+MERGED_CHUNKS = 100_000
 
 #: How a tokenizer must normalise and split for words to be encoded one by one.
 WORD_PIPELINE = {
@@ -77,7 +79,7 @@ class Merges:
 
     #: Words of similar length are merged together; symbols of a group.
     LENGTHS = (0, 1, 4, 7, 10, 14, 20, 32, 64)
-    SYMBOLS = 1 << 20
+    SYMBOLS = 1 << 18
 
     def __init__(self, model: dict) -> None:
         vocab, last = model["vocab"], model.get("end_of_word_suffix") or ""
@@ -86,8 +88,17 @@ class Merges:
         self.base = np.array([vocab[_BYTE_SYMBOLS[b] + end] for end in ("", last) for b in range(256)], np.int32)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
-        self.ranks = np.argsort(keys).astype(np.int32)
-        self.keys = keys[self.ranks]
+        # A hash table with open addresses, a quarter full at most.
+        self.shift = np.uint64(62 - len(keys).bit_length())
+        self.keys = np.full(1 << (64 - int(self.shift)), -1, np.int64)
+        self.ranks = np.full(len(self.keys), _NONE, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[left[free]]
+            mine = self.keys[at] == keys[left]
+            self.ranks[at[mine]] = left[mine]
+            left, at = left[~mine], (at[~mine] + 1) % len(self.keys)
         self.first = self.rank(np.repeat(self.base, 512), np.tile(self.base, 512)).reshape(512, 512)
 
     @staticmethod
@@ -97,43 +108,61 @@ class Merges:
         symbols = {s + end for s in _BYTE_SYMBOLS.values() for end in ("", model.get("end_of_word_suffix") or "")}
         return Merges(model) if plain and symbols <= model["vocab"].keys() and len(model["merges"]) == len(set(map(str, model["merges"]))) else None
 
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (right >= 0), self.ranks[at], _NONE)
+        key = np.where(right >= 0, left.astype(np.int64) * self.size + right, -1)
+        at = self._slot(key)
+        there = self.keys[at]
+        found = np.where(there == key, self.ranks[at], _NONE)
+        other = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) % len(self.keys)
+            there = self.keys[at[other]]
+            hit = there == key[other]
+            found[other[hit]] = self.ranks[at[other[hit]]]
+            other = other[~hit & (there >= 0)]
+        return found
 
     def merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(numbers of words, their ids and -1 behind them) in any order."""
+        """(numbers of words, their ids with -1 in places that were merged away) in any order."""
         for low, n in zip(self.LENGTHS, self.LENGTHS[1:]):
             every = np.flatnonzero((lengths > low) & (lengths <= n))
             for k in range(0, len(every), self.SYMBOLS // n):
-                yield from self._merge(data, starts, lengths, every[k : k + self.SYMBOLS // n], n)
-
-    def _merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, words: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        place, length = np.arange(n), lengths[words][:, None]
-        symbols = data[np.minimum(starts[words][:, None] + place, len(data) - 1)].astype(np.int32) + 256 * (place == length - 1)
-        ranks = np.where(place[1:] < length, self.first[symbols[:, :-1], symbols[:, 1:]], _NONE)
-        ids = np.where(place < length, self.base[symbols], np.int32(-1))
-        while n > 1:
+                words = every[k : k + self.SYMBOLS // n]
+                yield words, self._merge(data, starts[words], lengths[words], n)
+
+    def _merge(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
+        # Symbols keep their places, which are chained; the place n of each word is the end of its chain on either side.
+        place, length, width = np.arange(n), lengths[:, None], n + 1
+        symbols = data[np.minimum(starts[:, None] + place, len(data) - 1)].astype(np.int32) + 256 * (place == length - 1)
+        ranks = np.full((len(starts), width), _NONE)
+        ranks[:, : n - 1] = np.where(place[1:] < length, self.first[symbols[:, :-1], symbols[:, 1:]], _NONE)
+        whole = np.full((len(starts), width), -1, np.int32)
+        whole[:, :n] = np.where(place < length, self.base[symbols], np.int32(-1))
+        ids = whole.reshape(-1)
+        after = np.tile(np.arange(1, width + 1, dtype=np.int8), len(starts))
+        before = np.tile(np.append(np.int8(n), np.arange(n, dtype=np.int8)), len(starts))
+        begin = np.arange(len(starts)) * width
+        while True:
             at = ranks.argmin(axis=1)
             lowest = ranks[np.arange(len(at)), at]
             if (over := lowest == _NONE).any():
-                yield words[over], ids[over]
-                words, ids, ranks, at, lowest = (x[~over] for x in (words, ids, ranks, at, lowest))
-            if not len(words):
-                return
-            rows = np.arange(len(at))
-            ids[rows, at] = self.made[lowest]
-            n -= 1
-            ids = np.where(np.arange(n) > at[:, None], ids[:, 1:], ids[:, :-1])
-            if n > 1:
-                ranks = np.where(np.arange(n - 1) > at[:, None], ranks[:, 1:], ranks[:, :-1])
-                inner = np.flatnonzero(at < n - 1)
-                ranks[inner, at[inner]] = self.rank(ids[inner, at[inner]], ids[inner, at[inner] + 1])
-                inner = np.flatnonzero(at > 0)
-                ranks[inner, at[inner] - 1] = self.rank(ids[inner, at[inner] - 1], ids[inner, at[inner]])
-        if len(words):
-            yield words, ids
+                begin, ranks, at, lowest = (x[~over] for x in (begin, ranks, at, lowest))
+            if not len(at):
+                return whole
+            one = begin + at
+            gone, left = after[one], before[one]
+            right = after[begin + gone]
+            ids[one] = made = self.made[lowest]
+            ids[begin + gone] = -1
+            after[one] = right
+            before[begin + right] = at
+            row, flat = np.arange(len(at)) * width, ranks.reshape(-1)
+            new = self.rank(np.append(ids[begin + left], made), np.append(made, ids[begin + right]))
+            flat[row + gone] = _NONE
+            flat[row + left], flat[row + at] = new[: len(at)], new[len(at) :]
 
 
 class ChunkEncoder(dict):
@@ -160,6 +189,8 @@ class ChunkEncoder(dict):
         self.merges = Merges.of(json.loads(self.tokenizer.to_str())["model"]) if self.by_word else None
         self.older: dict[str, bytes] = {}
         self[""] = b""
+        self.words, self.word_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.uses = np.zeros(0, np.float32)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -211,18 +242,37 @@ class ChunkEncoder(dict):
         taken = (sizes <= Merges.LENGTHS[-1]) & (count(~(letter | mark) | back) == 0)
         starts = np.stack([bounds[:-1], bounds[:-1] + letters], 1).ravel()
         lengths = np.where(taken[:, None], np.stack([letters, sizes - letters], 1), 0).ravel()
-        groups = [(words, ids, (ids >= 0).sum(axis=1)) for words, ids in self.merges.merge(data, starts, lengths)]
+        groups = []
         n = np.zeros(len(lengths), np.int64)
-        for words, _, k in groups:
-            n[words] = k
+        for words, ids in self.merges.merge(data, starts, lengths):
+            real = ids >= 0
+            n[words] = real.sum(axis=1)
+            groups.append((words, ids[real].astype(self.dtype)))
         at = np.append(0, np.cumsum(n))
         out = np.empty(at[-1], self.dtype)
-        for words, ids, k in groups:
-            real = ids >= 0
-            out[(at[words][:, None] + np.arange(ids.shape[1]))[real]] = ids[real]
+        for words, ids in groups:
+            k = n[words]
+            out[np.repeat(at[words] - np.cumsum(k) + k, k) + np.arange(len(ids))] = ids
         ends = at[::2] * self.dtype.itemsize
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(chunks), [None, pa.py_buffer(ends), pa.py_buffer(out)]), np.flatnonzero(~taken)
 
+    def _coded(self, chunks: pa.LargeStringArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+        """Ids, and the place in them of each of the distinct chunks. Merged chunks are remembered for later batches."""
+        at = pc.index_in(chunks, value_set=self.words)
+        place, new = at.fill_null(0).to_numpy().astype(np.int64), np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        fresh = chunks.take(pa.array(new))
+        merged, rest = self._merged(fresh)
+        found = pa.array([self[c] for c in fresh.take(pa.array(rest)).to_pylist()], pa.large_binary())
+        uses = np.append(self.uses * np.float32(0.9), np.ones(len(new), np.float32))
+        uses[np.delete(place, new)] += 1
+        uses[len(self.words) + rest] = -1
+        place[new] = len(self.words) + np.arange(len(new))
+        place[new[rest]] = len(uses) + np.arange(len(rest))
+        words, ids = pa.concat_arrays([self.words, fresh]), pa.concat_arrays([self.word_ids, merged])
+        kept = np.argsort(-uses, kind="stable")[: min(MERGED_CHUNKS, np.count_nonzero(uses >= 0))]
+        self.words, self.word_ids, self.uses = words.take(pa.array(kept)), ids.take(pa.array(kept)), uses[kept]
+        return pa.concat_arrays([ids, found]), place
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0].as_py()
 
@@ -236,10 +286,8 @@ class ChunkEncoder(dict):
         split = pc.split_pattern(pa.array(spaced, pa.large_string()).fill_null(""), " ")
         bounds = split.offsets.to_numpy()
         coded = split.values.dictionary_encode()
-        known, rest = self._merged(coded.dictionary)
-        found = [self[c] for c in coded.dictionary.take(pa.array(rest)).to_pylist()]
-        place = np.arange(len(known))
-        place[rest] = len(known) + np.arange(len(rest))
+        known, place = self._coded(coded.dictionary)
+        found: list[bytes] = []
         which = place[coded.indices.to_numpy()]
         for i, (t, s) in enumerate(zip(texts, spaced)):
             if s is None:

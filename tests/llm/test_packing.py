@@ -6,6 +6,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from loamline.llm import packing
 from loamline.llm.packing import ChunkEncoder, pack, windows
 
 PATH = P.path("word_bpe_49k.json")
@@ -71,3 +72,21 @@ def test_upper_case_of_a_special_token_is_text_and_marks_join_punctuation():
     enc, tok = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
     for text in ("<|ENDOFTEXT|>", "x <|EndOfText|> y", "<|endoftext|> <|ENDOFTEXT|>", "Σ İ.", "\ufb2a,"):
         assert np.frombuffer(enc.encode(text), enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_merged_chunks_are_remembered_within_their_bound(monkeypatch):
+    monkeypatch.setattr(packing, "MERGED_CHUNKS", 300)
+    enc, tok = ChunkEncoder(PATH), Tokenizer.from_file(PATH)
+    merged = []
+    inner = enc.merges.merge
+    monkeypatch.setattr(enc.merges, "merge", lambda data, starts, lengths: merged.append(len(lengths) // 2) or inner(data, starts, lengths))
+    rng = random.Random(8)
+    usual = ["".join(rng.choices("abdeghinorstuéß", k=rng.randint(2, 12))) + rng.choice(["", ".", ",", "***"]) for _ in range(200)]
+    for _ in range(6):
+        rare = ["".join(rng.choices("abdeghinorstuéß", k=14)) for _ in range(250)]
+        texts = [" ".join(rng.sample(usual + rare, 450)) + " 12 Œuf", None, "", " ".join(usual)]
+        got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode_all(texts).to_pylist()]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(enc.words) <= 300
+    # In the end few but rare words are merged, the usual ones have been remembered.
+    assert merged[-1] < 300 < 440 < merged[0], merged
