@@ -1,4 +1,5 @@
 import json
+import random
 import os
 import subprocess
 
@@ -102,6 +103,46 @@ def test_names_over_a_graph(spark):
     assert got == {("01", "a"): "end", ("02", "b"): "end", ("05", "q"): "q", ("06", "end"): "end", ("05", "never"): "never"}
 
 
+def test_names_equal_a_walk_over_any_graph(spark):
+    """Few names that come and go again, in repositories of branches and merges."""
+    rng, commits_of, log, changes = random.Random(5), 40, [], []
+    for repo in "rst":
+        for i in range(commits_of):
+            parents = sorted({rng.randrange(max(0, i - 4), i) for _ in range(rng.choice((1, 1, 2)))} if i else set())
+            log.append((repo, commits_of - i, f"{i:02}", [f"{p:02}" for p in parents]))
+            for at in range(rng.randrange(4)):
+                old, new = rng.sample("abcdef", 2)
+                changes.append((repo, f"{i:02}", at, *((new, old, "Rename") if rng.random() < 0.8 else (old, None, "Delete"))))
+    child = {(repo, p): c for repo, _, c, parents in sorted(log, key=lambda r: -r[1]) for p in parents}
+    event = {(repo, c, old if kind == "Rename" else file): file if kind == "Rename" else None for repo, c, _, file, old, kind in changes}
+
+    def walk(repo, at, name):
+        while at is not None and name is not None:
+            name, at = event.get((repo, at, name), name), child.get((repo, at))
+        return name
+
+    asked = [(repo, c, name) for repo, _, c, _ in log for name in "abcdefg"]
+    want = {a: final for a in asked if (final := walk(*a)) is not None}
+    frames = (
+        spark.createDataFrame(asked, "repo string, id string, file string"),
+        spark.createDataFrame(log, "repo string, ord long, id string, parents array<string>"),
+        spark.createDataFrame(changes, "repo string, id string, change_ord int, file string, old_file string, change string"),
+    )
+    rows = renames.final_names(*frames).collect()
+    assert len(rows) == len(want) and {(r.repo, r.id, r.file): r.final for r in rows} == want
+
+
+def test_rounds_of_a_long_chain_of_renames(spark, monkeypatch):
+    """100 renames one after another: chains are halved, they aren't followed step by step."""
+    n, written = 100, []
+    monkeypatch.setattr(renames, "materialize", lambda df, label, real=renames.materialize: written.append(label) or real(df, label))
+    log = spark.createDataFrame([("r", n - i, str(i), [str(i - 1)] if i else []) for i in range(n)], "repo string, ord long, id string, parents array<string>")
+    changes = spark.createDataFrame([("r", str(i), 0, f"f{i}", f"f{i - 1}" if i else None, "Rename" if i else "Add") for i in range(n)], "repo string, id string, change_ord int, file string, old_file string, change string")
+    found = renames.final_names(changes.select("repo", "id", "file"), log, changes)
+    assert len(written) < 15
+    assert found.count() == n and [r.final for r in found.select("final").distinct().collect()] == [f"f{n - 1}"]
+
+
 def test_document(spark, repo):
     config = ScanConfig(str(repo.path), name="t", id="7", coupling=CouplingConfig(1, 1, 0.1, 10, 600, 0))
     found = scan_document(spark, config, now=START + 86_400)
