@@ -28,11 +28,14 @@ def activity(history: DataFrame, last_commit: int | DataFrame, key: str = "file"
     has an earlier one. ``last_commit``: one number, or a frame (repo, last_commit)
     for histories with a repo.
     """
-    added = F.min(F.when(F.col("change") == "Add", F.col("author_time")))
     grouped = [key] if isinstance(last_commit, int) else ["repo", key]
-    base = history.groupBy(*grouped).agg(F.max("commit_time").alias("last_update"), added.alias("added"), F.min("author_time").alias("first"))
-    people = history.select(*grouped, F.explode("users").alias("u")).groupBy(*grouped).agg(F.array_sort(F.collect_set("u")).alias("users"))
-    joined = base.join(people, grouped, "left").withColumn("users", F.coalesce("users", F.array().cast("array<bigint>")))
+    added = F.when(F.col("change") == "Add", F.col("author_time"))
+    # A file's changes move once, as they are; single users and their sets are made where they meet.
+    rows = history.select(*grouped, "commit_time", "author_time", added.alias("added"), "users").repartition(*grouped)
+    each = rows.select(*grouped, "commit_time", "author_time", "added", F.explode_outer("users").alias("u"))
+    joined = each.groupBy(*grouped).agg(
+        F.max("commit_time").alias("last_update"), F.min("added").alias("added"), F.min("author_time").alias("first"), F.array_sort(F.collect_set("u")).alias("users")
+    )
     if isinstance(last_commit, int):
         joined = joined.withColumn("last_commit", F.lit(last_commit).cast("long"))
     else:

@@ -216,6 +216,17 @@ def _item_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _newest_item(spark: SparkSession, sf_dir: str) -> int | None:
+    """The largest commit_time of :func:`_item_changes`. One of the newest items with an order proves it; only if none is found do all items meet all orders."""
+    i, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    shipped = i.select("l_orderkey", F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("t"))
+    newest = shipped.agg(F.max("t")).first()[0]
+    keys = [r[0] for r in shipped.filter((F.col("t") == newest) & F.col("l_orderkey").isNotNull()).limit(100).collect()] if newest is not None else []
+    if keys and not o.filter(F.col("o_orderkey").isin(keys)).isEmpty():
+        return newest
+    return _item_changes(spark, sf_dir).agg(F.max("commit_time")).first()[0]
+
+
 _HISTORY = """h AS (
   SELECT l_partkey AS file, o_orderkey AS id, CASE WHEN l_linenumber = 1 THEN 'Add' ELSE 'Modify' END AS change,
     epoch_us(l_shipdate) // 1000000 AS commit_time, epoch_us(o_orderdate) // 1000000 AS author_time,
@@ -235,9 +246,8 @@ SELECT b.file, last_update, (last_commit - last_update) // 86400 AS age_in_days,
 FROM base b JOIN people p ON p.file = b.file CROSS JOIN newest""",
 )
 def file_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _item_changes(spark, sf_dir)
-    newest = h.agg(F.max("commit_time")).first()[0]
-    found = history.activity(h, newest if newest is not None else 0)
+    newest = _newest_item(spark, sf_dir)
+    found = history.activity(_item_changes(spark, sf_dir).filter(F.col("file").isNotNull()), newest if newest is not None else 0)
     return found.withColumn("users", F.array_join(F.col("users").cast("array<string>"), ","))
 
 

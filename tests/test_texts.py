@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from loamline.functions import languages, people, text
 from loamline.operators import commits, history, indicators, users
+from loamline.plans import queries
 
 
 def one(spark, value, column, kind="string"):
@@ -93,6 +94,28 @@ def test_activity_and_details(spark):
     assert days["f"] == [(0, [0], 1, 2, 0), (0, [0, 1], 1, 1, 1)] and days["g"] == [(0, [1], 2, 2, 0)]
 
 
+def test_activity_reads_its_history_once(spark):
+    rows = [("f", "Add", 5, 5, [2, 1]), ("f", "Modify", 9, 6, None), ("f", "Modify", 8, 7, []), ("f", "Modify", 8, 7, [2, None, 3]), ("g", "Modify", 7, 3, []), (None, "Add", 1, 1, [4]), (None, "Add", 2, 0, [4])]
+    h = spark.createDataFrame(rows, "file string, change string, commit_time long, author_time long, users array<bigint>")
+    found = history.activity(h, 9)
+    assert {tuple(r) for r in found.selectExpr("file", "last_update", "creation_date", "array_join(users, ' ')", "user_count").collect()} == {("f", 9, 5, "1 2 3", 3), ("g", 7, None, "", 0), (None, 2, 0, "4", 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    by_repo = history.activity(h.withColumn("repo", F.lit("r")), spark.createDataFrame([("r", 9)], "repo string, last_commit long"))
+    assert {(r.file, r.user_count) for r in by_repo.collect()} == {("f", 3), ("g", 0), (None, 1)}
+
+
+def test_newest_item_without_an_order(spark, tmp_path):
+    """The newest items have no order, so they are no changes; without any, there is no newest one."""
+    items = spark.createDataFrame([(1, 10, 1, 1, 86_400), (1, 11, 1, 2, 2 * 86_400), (9, 10, 1, 1, 5 * 86_400)], "k long, p long, s long, n int, t long")
+    items = items.selectExpr("k AS l_orderkey", "p AS l_partkey", "s AS l_suppkey", "n AS l_linenumber", "1D AS l_quantity", "0D AS l_discount", "timestamp_seconds(t) AS l_shipdate")
+    for name, key in (("some", 1), ("all", 9), ("none", 7)):
+        items.write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        spark.range(1).selectExpr(f"{key}L AS o_orderkey", "5L AS o_custkey", "timestamp_seconds(0) AS o_orderdate").write.parquet(f"{tmp_path}/{name}/orders.parquet")
+    ages = {name: {(r.file, r.age_in_days) for r in queries.file_activity(spark, f"{tmp_path}/{name}").collect()} for name in ("some", "all", "none")}
+    assert ages == {"some": {(10, 1), (11, 0)}, "all": {(10, 0)}, "none": set()}
+
+
 def test_repository_by_prefix(spark):
     paths = spark.createDataFrame([(["a", "b", "c"],), (["a", "x"],), (["z"],)], "path array<string>")
     repos = spark.createDataFrame([("outer", ["a"], 0), ("inner", ["a", "b"], 1)], "repo string, root array<string>, load_ord int")
